@@ -199,6 +199,20 @@ def quantiles(
     )
 
 
+def percent_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, width: float) -> DataFrame:
+    """Adds the share of other rows of the key with a lower value; null values
+    stay out. Ranks are found among counted distinct values, then joined back."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__c"))
+    ranked = running(
+        counts, keys, [value], F.floor(F.col(value) / F.lit(width)), {"__cum": "__c"}, {"__n": "__cum"}
+    ).select(
+        *keys,
+        value,
+        F.when(F.col("__n") > 1, (F.col("__cum") - F.col("__c")) / (F.col("__n") - 1)).otherwise(F.lit(0.0)).alias(out),
+    )
+    return df.join(ranked, [*keys, value], "left")
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The last row of each key; an aggregate, so it combines before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

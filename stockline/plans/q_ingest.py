@@ -276,7 +276,7 @@ def _links(t):
 
 def _verdicts(t):
     manifest = g.month_manifest(t.sales)
-    stored = manifest.where("year(period_month) < 1997").select("period_month", "content_hash")
+    stored = manifest.where("year(period_month) < 2000").select("period_month", "content_hash")
     return g.import_verdicts(manifest, _links(t), stored)
 
 
@@ -286,8 +286,8 @@ def _verdicts(t):
                   from (select distinct period_month from v_sales))
        select period_month::varchar as period_month,
               case when month(period_month) = 3 then 'problem: link and file name differ'
-                   when year(period_month) < 1997 and rn > 2 then 'skip'
-                   when year(period_month) < 1997 then 'unchanged'
+                   when year(period_month) < 2000 and rn > 2 then 'skip'
+                   when year(period_month) < 2000 then 'unchanged'
                    when month(period_month) = 5 then 'problem: lines do not add up' else 'import' end as verdict
        from m""",
 )
@@ -299,7 +299,7 @@ def _(t):
     "months_to_write",
     """select period_month::varchar as period_month, count(*) as lines, sum(bottles)::bigint as bottles,
               sum(dollars)::double as dollars
-       from v_sales where year(period_month) >= 1997 and month(period_month) not in (3, 5) group by 1""",
+       from v_sales where year(period_month) >= 2000 and month(period_month) not in (3, 5) group by 1""",
 )
 def _(t):
     return (

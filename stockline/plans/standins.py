@@ -79,8 +79,15 @@ CTES: dict[str, str] = {
     "v_draws": """
         select o_orderpriority || ' ' || year(o_orderdate) as drawing, lpad(o_custkey::varchar, 6, '0') as item_code,
                max((floor(o_totalprice / 100))::int) as entries, (1 + min(o_orderkey) % 30)::int as bottles,
-               min(o_orderdate) as first_seen
+               min(o_orderdate) as first_seen, max(o_orderdate) as last_seen
         from orders group by 1, 2""",
+    "v_draws_live": "select * from v_draws where drawing like '1-URGENT 200%'",
+    "v_sales_live": """
+        select * replace ((period_month + interval 266 month)::date as period_month) from v_sales""",
+    "v_overrides": """
+        select lpad(s_suppkey::varchar, 6, '0') as csc,
+               case s_suppkey % 4 when 1 then 'rare' when 2 then 'scarce' when 3 then 'everyday' end as tier
+        from supplier""",
     "v_text": """
         select doc_id as key, left(text, 60) as name, text as description, source as category, lang from documents""",
     "v_changes": """
@@ -284,9 +291,28 @@ class Tables:
                 F.max(F.floor(F.col("o_totalprice") / 100).cast("int")).alias("entries"),
                 (1 + F.min("o_orderkey") % 30).cast("int").alias("bottles"),
                 F.min("o_orderdate").alias("first_seen"),
+                F.max("o_orderdate").alias("last_seen"),
             )
         )
 
+    @cached_property
+    def draws_live(self) -> DataFrame:
+        """The current drawing series: urgent orders since 2000."""
+        return self.draws.where("drawing like '1-URGENT 200%'")
+
+    @cached_property
+    def sales_live(self) -> DataFrame:
+        """Sales moved in time so that the newest month is that of the clock."""
+        return self.sales.withColumn("period_month", F.expr("add_months(period_month, 266)"))
+
+    @cached_property
+    def overrides(self) -> DataFrame:
+        key = F.col("s_suppkey")
+        return self.table("supplier").select(
+            code(key).alias("csc"),
+            F.when(key % 4 == 1, "rare").when(key % 4 == 2, "scarce").when(key % 4 == 3, "everyday").alias("tier"),
+        )
+
     @cached_property
     def drops(self) -> DataFrame:
         return (
@@ -328,3 +354,16 @@ class Tables:
                 F.expr("created_at + make_dt_interval(0, 0, cast((event_id div 8) % 90 as int))").alias("sent_at"),
             )
         )
+
+    @cached_property
+    def rated(self) -> DataFrame:
+        from . import q_sales
+
+        return q_sales.rated(self)
+
+    @cached_property
+    def resolved(self) -> DataFrame:
+        """Rated codes with the tier to show after manual overrides."""
+        from ..operators import sales
+
+        return sales.override_resolve(self.rated, self.overrides)
