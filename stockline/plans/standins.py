@@ -11,10 +11,12 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..operators import history, ingest
+from ..operators import ingest
+from ..session import checkpointed
 from ..sources.files import read_table
 
 _AS_OF: dict[str, datetime] = {}
+_RATED: dict[tuple[str, str], DataFrame] = {}
 
 CTES: dict[str, str] = {
     "clock": "select max(ts) as t from events",
@@ -357,9 +359,14 @@ class Tables:
 
     @cached_property
     def rated(self) -> DataFrame:
+        """The rating of every code, written once per session as the job that
+        computes it would, and read by everything that shows a tier."""
         from . import q_sales
 
-        return q_sales.rated(self)
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _RATED:
+            _RATED[key] = checkpointed(q_sales.rated(self))
+        return _RATED[key]
 
     @cached_property
     def resolved(self) -> DataFrame:
