@@ -18,6 +18,27 @@ from ..sources.files import read_table
 _AS_OF: dict[str, datetime] = {}
 _RATED: dict[tuple[str, str], DataFrame] = {}
 
+# User agents and referrers dealt out to visitors and views.
+AGENTS = [
+    "Mozilla/5.0 (iPhone; CPU iPhone OS 17_0 like Mac OS X) AppleWebKit/605.1.15 Version/17.0 Mobile/15E148 Safari/604.1",
+    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 Chrome/120.0 Safari/537.36",
+    "Mozilla/5.0 (Windows NT 10.0; Win64; x64) AppleWebKit/537.36 Chrome/120.0 Safari/537.36 Edg/120.0",
+    "Mozilla/5.0 (Linux; Android 14; Pixel 8) AppleWebKit/537.36 Chrome/120.0 Mobile Safari/537.36",
+    "Mozilla/5.0 (iPad; CPU OS 17_0 like Mac OS X) AppleWebKit/605.1.15 Safari/604.1",
+    "Mozilla/5.0 (X11; Linux x86_64; rv:120.0) Gecko/20100101 Firefox/120.0",
+    "Mozilla/5.0 (Macintosh; Intel Mac OS X 14_0) AppleWebKit/605.1.15 Version/17.0 Safari/605.1.15",
+    "Mozilla/5.0 (compatible; Googlebot/2.1; +http://www.google.com/bot.html)",
+]
+REFERRERS = [
+    "https://www.google.com/search?q=x",
+    None,
+    "https://old.reddit.com/r/x",
+    "https://m.facebook.com/",
+    "https://chatgpt.com/",
+    "https://news.example.org/a",
+]
+OWN_HOST = "shop.example.com"
+
 CTES: dict[str, str] = {
     "clock": "select max(ts) as t from events",
     "v_products": """
@@ -69,6 +90,37 @@ CTES: dict[str, str] = {
                case when event_type = 'view' then lpad(k::varchar, 6, '0') end as csc,
                case when event_type = 'click' then 'q' || (k % 20) end as search_query
         from v_events""",
+    "v_clients": """
+        select p.*, case when k % 10 = 7 then 'newsletter' end as utm_source,
+               case k % 6 when 0 then 'google.com' when 2 then 'old.reddit.com' when 3 then 'facebook.com' when 4 then 'chatgpt.com'
+                          when 5 then 'news.example.org' end as referrer_host,
+               case when k % 10 = 7 then 'Email' else case k % 6 when 0 then 'Google' when 1 then 'Direct' when 2 then 'Reddit'
+                    when 3 then 'Facebook' when 4 then 'ChatGPT' else 'news.example.org' end end as source,
+               case visitor_id % 8 when 0 then 'mobile' when 3 then 'mobile' when 4 then 'tablet' else 'desktop' end as device,
+               case visitor_id % 8 when 0 then 'Safari' when 1 then 'Chrome' when 2 then 'Edge' when 3 then 'Chrome' when 4 then 'Safari'
+                    when 5 then 'Firefox' when 6 then 'Safari' else 'Other' end as browser,
+               case visitor_id % 8 when 0 then 'iOS' when 1 then 'Windows' when 2 then 'Windows' when 3 then 'Android' when 4 then 'iOS'
+                    when 5 then 'Linux' when 6 then 'macOS' else 'Other' end as os,
+               s.city, s.county as country
+        from v_pages p join v_events e using (event_id) join v_stores s on s.id = p.visitor_id % 25""",
+    "v_views": """
+        with f as (select *, coalesce(created_at - lag(created_at) over w > interval 360 minute, true) as is_landing
+                   from v_clients window w as (partition by visitor_id order by created_at, event_id))
+        select *, sum(is_landing::int) over (partition by visitor_id order by created_at, event_id)::bigint as session_no,
+               visitor_id || '-' || sum(is_landing::int) over (partition by visitor_id order by created_at, event_id) as session_id
+        from f""",
+    "v_accounts": "select user_id, min(ts) as created_at, max(ts) as last_sign_in_at from events group by 1",
+    "v_actions": """
+        select event_id, user_id as visitor_id, ts as created_at,
+               case event_type when 'view' then 'shown' when 'click' then 'click' when 'signup' then 'watch_request' when 'purchase' then 'watch_added'
+                    else case when k % 2 = 0 then 'useful_no' else 'useful_yes' end end as kind,
+               case k % 4 when 0 then 'search' when 1 then 'discover' when 2 then 'home' else 'taste' end as surface,
+               case k % 4 when 0 then case when user_id % 3 = 0 then 'exact' when user_id % 3 = 1 then 'rough' else 'browse' end
+                    when 3 then 'typed' else case when user_id % 3 = 0 then 'scarce' when user_id % 3 = 1 then 'back' else 'price' end end as view,
+               case when event_type = 'click' then (event_id % 30 + 1)::int end as rank,
+               case when event_type = 'view' then (event_id % 27)::int end as results,
+               'Q' || (k % 20) as query
+        from v_events""",
     "v_watch": """
         select user_id, lpad(k::varchar, 6, '0') as csc, min(ts) as created_at
         from v_events where event_type = 'signup' group by 1, 2""",
@@ -254,6 +306,56 @@ class Tables:
             .alias("path"),
             F.when(kind == "view", item).alias("csc"),
             F.when(kind == "click", F.concat(F.lit("q"), (F.col("k") % 20).cast("string"))).alias("search_query"),
+            F.get(F.array(*[F.lit(a) for a in AGENTS]), (F.col("user_id") % 8).cast("int")).alias("agent"),
+            F.get(F.array(*[F.lit(r) for r in REFERRERS]), F.col("k") % 6).alias("referrer"),
+            F.when(F.col("k") % 10 == 7, "newsletter").alias("utm_source"),
+        )
+
+    @cached_property
+    def clients(self) -> DataFrame:
+        """Page views with source, client and place."""
+        from ..functions import clients as c
+
+        places = self.stores.select(F.col("id").cast("bigint").alias("__place"), "city", F.col("county").alias("country"))
+        host = c.referrer_host("referrer", OWN_HOST)
+        return (
+            self.pages.withColumn("referrer_host", host)
+            .withColumn("source", c.source("referrer_host", "utm_source"))
+            .withColumns({"device": c.device("agent"), "browser": c.browser("agent"), "os": c.system("agent")})
+            .withColumn("__place", F.col("visitor_id") % 25)
+            .join(places, "__place")
+            .drop("__place", "agent", "referrer")
+        )
+
+    @cached_property
+    def views(self) -> DataFrame:
+        """Page views in sessions. Test visitors come back every few hours, so
+        the registered idle gap is six hours."""
+        from ..operators import web
+
+        return web.sessionize(self.clients, gap_minutes=360)
+
+    @cached_property
+    def accounts(self) -> DataFrame:
+        return self.table("events").groupBy("user_id").agg(F.min("ts").alias("created_at"), F.max("ts").alias("last_sign_in_at"))
+
+    @cached_property
+    def actions(self) -> DataFrame:
+        """Discovery events: what was shown, clicked, requested, added, judged."""
+        kind, k, u = F.col("event_type"), F.col("k"), F.col("user_id")
+        view3 = F.when(u % 3 == 0, "scarce").when(u % 3 == 1, "back").otherwise("price")
+        return self.events.select(
+            "event_id",
+            u.alias("visitor_id"),
+            F.col("ts").alias("created_at"),
+            F.when(kind == "view", "shown").when(kind == "click", "click").when(kind == "signup", "watch_request")
+            .when(kind == "purchase", "watch_added").otherwise(F.when(k % 2 == 0, "useful_no").otherwise("useful_yes")).alias("kind"),
+            F.when(k % 4 == 0, "search").when(k % 4 == 1, "discover").when(k % 4 == 2, "home").otherwise("taste").alias("surface"),
+            F.when(k % 4 == 0, F.when(u % 3 == 0, "exact").when(u % 3 == 1, "rough").otherwise("browse"))
+            .when(k % 4 == 3, "typed").otherwise(view3).alias("view"),
+            F.when(kind == "click", (F.col("event_id") % 30 + 1).cast("int")).alias("rank"),
+            F.when(kind == "view", (F.col("event_id") % 27).cast("int")).alias("results"),
+            F.concat(F.lit("Q"), (k % 20).cast("string")).alias("query"),
         )
 
     @cached_property
