@@ -213,6 +213,17 @@ def percent_rank(df: DataFrame, keys: Sequence[str], value: str, out: str, width
     return df.join(ranked, [*keys, value], "left")
 
 
+def ntile(df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, tiles: int, out: str) -> DataFrame:
+    """Adds the tile (1..``tiles``) of each row within its key, larger tiles first."""
+    rows = running(df, keys, order, bucket, {"__rn": F.lit(1)}, {"__n": "__rn"})
+    size, extra = F.floor(F.col("__n") / tiles), F.col("__n") % tiles
+    wide = extra * (size + 1)
+    tile = F.when(F.col("__rn") <= wide, F.floor((F.col("__rn") - 1) / (size + 1)) + 1).otherwise(
+        extra + F.floor((F.col("__rn") - 1 - wide) / F.greatest(size, F.lit(1))) + 1
+    )
+    return rows.withColumn(out, tile.cast("int")).drop("__rn", "__n")
+
+
 def latest(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The last row of each key; an aggregate, so it combines before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
