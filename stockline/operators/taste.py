@@ -21,7 +21,6 @@ from ..functions.times import col
 
 _ACCENTS = ("ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ", "AAAAAACEEEEIIIINOOOOOUUUUY")
 _EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
-ATTR = "struct<value:string,evidence:string,source:string,quote:string,confidence:string,note:string>"
 
 
 def plain_upper(c: str | Column) -> Column:
@@ -54,18 +53,61 @@ def _first(parts: Sequence[Column]) -> Column:
     return F.coalesce(*parts)
 
 
-def find_grapes(text: Column) -> Column:
-    """All grapes a text names, in rule order."""
-    franc = r"CAB(?:ERNET)?\.? FRANC"
-    other_cab = text.rlike(r"\bCAB(?:ERNET)?\.? SAUV") | F.regexp_replace(text, franc, "").rlike(r"\bCABERNET\b(?! FRANC)")
-    has_franc = matches(text, r"\bCAB(?:ERNET)?\.? FRANC\b")
-    parts = []
+def _text(value: str) -> str:
+    """A raw SQL string; the rules hold no double quotes."""
+    return f'r"{value}"'
+
+
+def _rule(pattern: str, text: str, folded: str | None = None) -> str:
+    """SQL: the text matches the pattern; plain words are looked for first.
+    ``folded``: the text in lower case, when the pattern ignores case."""
+    hit = f"rlike({text}, {_text(pattern if folded is None else _folded(pattern))})"
+    words = anchors(pattern)
+    if words is None:
+        return hit
+    where = text if folded is None else folded
+    some = " or ".join(f"contains({where}, {_text(w if folded is None else w.lower())})" for w in dict.fromkeys(words))
+    return f"(({some}) and {hit})"
+
+
+def _hits(text: str, patterns: Sequence[str], folded: str | None = None) -> Column:
+    """Which patterns match the column ``text``, in rule order, as one array.
+
+    The rules run inside a lambda: hundreds of patterns would otherwise be
+    generated as Java code, which takes far longer than running them."""
+    rules = ", ".join(_rule(p, "x.t", "x.f" if folded else None) for p in patterns)
+    return F.expr(f"transform(array(named_struct('t', {text}, 'f', {folded or text})), x -> array({rules}))[0]")
+
+
+def _strings(values: Sequence[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
+def _first_hit(hits: Column) -> Column:
+    """Index of the first rule that matched, null without one."""
+    return F.nullif(F.array_position(hits, True), F.lit(0)).cast("int") - 1
+
+
+def _named(values: Column, hits: Column) -> Column:
+    """The values whose rule matched. The hits are an argument, not part of the
+    lambda, so that every pattern runs once."""
+    return F.array_compact(F.zip_with(values, hits, lambda v, h: F.when(h, v)))
+
+
+def find_grapes(*texts: str) -> Column:
+    """For each of the columns ``texts`` all grapes it names, in rule order."""
+    hits = []
     for grape, pattern in R.GRAPES:
-        hit = matches(text, pattern)
+        hit = _rule(pattern, "x")
         if grape == "Cabernet Sauvignon":
-            hit = hit & (~has_franc | other_cab)
-        parts.append(F.when(hit, grape))
-    return F.array_compact(F.array(*parts))
+            sauv = f"rlike(x, {_text(chr(92) + 'bCAB(?:ERNET)?[.]? SAUV')})"
+            other = f"rlike(regexp_replace(x, {_text('CAB(?:ERNET)?[.]? FRANC')}, ''), {_text(chr(92) + 'bCABERNET' + chr(92) + 'b(?! FRANC)')})"
+            franc = _rule(R.GRAPES[0][1], "x")
+            hit = f"({hit} and (not {franc} or {sauv} or {other}))"
+        hits.append(hit)
+    names = ", ".join(_text(g) for g, _ in R.GRAPES)
+    found = f"array_compact(zip_with(array({names}), array({', '.join(hits)}), (v, h) -> if(h, v, null)))"
+    return F.expr(f"transform(array({', '.join(texts)}), x -> {found})")
 
 
 def clean_quote(c: Column) -> Column:
@@ -80,9 +122,9 @@ def trim_quote(c: Column, most: int = 140) -> Column:
     return F.when(F.length(c) <= most, c).otherwise(cut)
 
 
-def quote_around(text: Column, pattern: str) -> Column:
+def quote_around(text: Column, pattern: Column) -> Column:
     """The sentence in which the match starts, cleaned and trimmed."""
-    at = F.greatest(F.regexp_instr(text, F.lit(pattern)), F.lit(1))
+    at = F.greatest(F.regexp_instr(text, pattern), F.lit(1))
     head = F.regexp_replace(F.substr(text, F.lit(1), at), r"(?s)^.*(?:[.!;]\s+|\.(?=[A-Z]))", "")
     tail = F.regexp_extract(F.substr(text, at + 1), r"(?s)^.*?(?:[.!;](?=\s)|\.(?=[A-Z])|$)", 0)
     return trim_quote(clean_quote(F.concat(head, tail)))
@@ -125,33 +167,26 @@ def anchors(pattern: str) -> list[str] | None:
     return out
 
 
-def matches(text: Column, pattern: str, folded: Column | None = None) -> Column:
-    """``text`` matches ``pattern``. ``folded``: the text in lower case, when the
-    pattern ignores case."""
-    words = anchors(pattern)
-    hit = text.rlike(pattern if folded is None else "(?i)" + ascii_words(pattern))
-    if words is None:
-        return hit
-    where = text if folded is None else folded
-    some = [F.contains(where, F.lit(w if folded is None else w.lower())) for w in dict.fromkeys(words)]
-    return reduce(lambda a, b: a | b, some) & hit
-
-
-def _text_rules(
-    rules: Sequence[tuple[str, str, str]], text: Column, folded: Column, generic: Column, skip: str | None = None
-) -> list[Column]:
-    """One candidate attribute per rule; text shared with other items counts for less."""
-    out = []
-    for value, pattern, confidence in rules:
-        p = "(?i)" + ascii_words(pattern)
-        hit = matches(text, pattern, folded)
-        if skip is not None:
-            at = F.regexp_instr(text, F.lit(p))
-            hit = hit & ~F.lower(F.substr(text, F.greatest(at, F.lit(1)), F.lit(40))).rlike(skip)
-        lowered = "medium" if confidence == "high" else "low"
-        conf = F.when(generic, lowered).otherwise(confidence)
-        out.append(F.when(hit, _attr(value, "product", "listing_text", quote_around(text, p), conf)))
-    return out
+def _folded(pattern: str) -> str:
+    return "(?i)" + ascii_words(pattern)
+
+
+def _text_attr(rules: Sequence[tuple[str, str, str]], hit: Column, text: Column, generic: Column) -> Column:
+    """The attribute of the rule at index ``hit``; text shared with other items
+    counts for less."""
+    stated = F.get(_strings([r[2] for r in rules]), hit)
+    lowered = F.when(stated == "high", "medium").otherwise("low")
+    quote = quote_around(text, F.get(_strings([_folded(r[1]) for r in rules]), hit))
+    return _attr(F.get(_strings([r[0] for r in rules]), hit), "product", "listing_text", quote, F.when(generic, lowered).otherwise(stated))
+
+
+def _sweet_hits(text: str, folded: str) -> Column:
+    """Sweetness rules that match words about the taste, not about an aroma."""
+    parts = []
+    for _, pattern, _ in R.TEXT_SWEETNESS:
+        near = f"lower(substr(x.t, greatest(regexp_instr(x.t, {_text(_folded(pattern))}), 1), 40))"
+        parts.append(f"({_rule(pattern, 'x.t', 'x.f')} and not rlike({near}, {_text(R.NOT_SWEET)}))")
+    return F.expr(f"transform(array(named_struct('t', {text}, 'f', {folded})), x -> array({', '.join(parts)}))[0]")
 
 
 def color_of(category: str | Column) -> Column:
@@ -211,54 +246,77 @@ def attribute_extract(items: DataFrame, key: str = "key") -> DataFrame:
         F.lower(F.trim(F.coalesce("description", F.lit("")))).alias("__l"),
         F.coalesce("generic", F.lit(False)).alias("__g"),
     )
-    n, c, d, u, low, g = (F.col(x) for x in ("__n", "__c", "__d", "__u", "__l", "__g"))
+    n, c, d, g = (F.col(x) for x in ("__n", "__c", "__d", "__g"))
     name, category = F.col("name"), F.col("category")
     color = color_of(category)
     blend_text = F.regexp_extract(d, r"((?:\d{1,3}\s?%\s?[A-Za-zÀ-ÿ' .-]+?(?:,|\band\b|$|\s(?=\d)))+)", 1)
     varietal = F.regexp_extract(c, r"^(?:RED|WHITE) VARIETAL - (.+)$", 1)
-    step = base.select(
+    base = base.select(
         "*",
-        F.coalesce(F.when(color.isNotNull(), _attr(color, "product", "category", category, "high")), _unknown()).alias("color"),
-        _first(
-            [
-                F.when(c.rlike("^SPARKLING WINE"), _attr("sparkling", "product", "category", category, "high")),
-                F.when(n.rlike(r"\bFRIZZANTE\b|\bPETILLANT\b|\bMOSCATO D'ASTI\b"), _attr("lightly sparkling", "product", "name", name, "high")),
-                F.when(
-                    n.rlike(r"\bSPARKLING\b|\bSPUMANTE\b|\bPROSECCO\b|\bCAVA\b|\bCHAMPAGNE\b|\bCREMANT\b"),
-                    _attr("sparkling", "product", "name", name, "high"),
-                ),
-                *_text_rules(R.TEXT_FIZZ, d, low, g),
-                _attr("still", "product", "category", category, "medium"),
-            ]
-        ).alias("fizz"),
         F.regexp_replace(F.trim(blend_text), r"[,\s]+$", "").alias("__blend"),
-        find_grapes(plain_upper(blend_text)).alias("__gb"),
-        find_grapes(n).alias("__gn"),
-        F.when((varietal != "") & ~varietal.rlike("MISC"), find_grapes(varietal)).alias("__gc"),
-        find_grapes(u).alias("__gd"),
-        _first([F.when(n.rlike(p), F.struct(F.lit(a).alias("grape"), F.lit(note).alias("note"))) for p, a, note in R.APPELLATIONS]).alias("__ap"),
-        _first(
-            [F.when(n.rlike(p), _attr(r, "product", "name", name, "high")) for p, r in R.NAME_REGIONS]
-            + [
-                F.when(matches(u, p), _attr(r, "product", "listing_text", quote_around(d, "(?i)" + p), F.when(g, "low").otherwise("high")))
-                for p, r in R.NAME_REGIONS
-            ]
-            + [F.when(c.rlike(p), _attr(r, "product", "category", category, "high")) for p, r in R.CATEGORY_REGIONS]
-            + [_unknown()]
-        ).alias("region"),
-        _first(
-            [
-                F.when(
-                    n.rlike(p),
-                    _attr(v, "product", "name", name, "high", F.concat(F.lit("labeled "), F.initcap(F.regexp_extract(n, p, 0)))),
-                )
-                for p, v in R.LABEL_SWEETNESS
-            ]
-            + _text_rules(R.TEXT_SWEETNESS, d, low, g, R.NOT_SWEET)
-            + [F.lit(None).cast(ATTR)]
-        ).alias("__sweet"),
-        _first([*_text_rules(R.TEXT_BODY, d, low, g), F.lit(None).cast(ATTR)]).alias("__body"),
-        F.array_compact(F.array(*_text_rules(R.TEXT_TAGS, d, low, g))).alias("__tags"),
+        plain_upper(blend_text).alias("__bt"),
+        F.when(varietal.rlike("MISC"), "").otherwise(varietal).alias("__vt"),
+    )
+    found = base.select(
+        "*",
+        _first_hit(_hits("__d", [r[1] for r in R.TEXT_FIZZ], "__l")).alias("__f"),
+        _first_hit(_sweet_hits("__d", "__l")).alias("__s"),
+        _first_hit(_hits("__d", [r[1] for r in R.TEXT_BODY], "__l")).alias("__b"),
+        _named(F.expr(f"sequence(0, {len(R.TEXT_TAGS) - 1})"), _hits("__d", [r[1] for r in R.TEXT_TAGS], "__l")).alias("__t"),
+        _first_hit(_hits("__n", [p for p, _ in R.LABEL_SWEETNESS])).alias("__l1"),
+        _first_hit(_hits("__n", [p for p, _ in R.NAME_REGIONS])).alias("__r1"),
+        _first_hit(_hits("__u", [p for p, _ in R.NAME_REGIONS])).alias("__r2"),
+        _first_hit(_hits("__c", [p for p, _ in R.CATEGORY_REGIONS])).alias("__r3"),
+        _first_hit(_hits("__n", [p for p, _, _ in R.APPELLATIONS])).alias("__a"),
+        find_grapes("__bt", "__n", "__vt", "__u").alias("__g4"),
+    ).select("*", *[F.get(F.col("__g4"), F.lit(i)).alias(x) for i, x in enumerate(("__gb", "__gn", "__gc", "__gd"))])
+    label = F.get(_strings([p for p, _ in R.LABEL_SWEETNESS]), F.col("__l1"))
+    places = _strings([r for _, r in R.NAME_REGIONS])
+    step = found.select(
+        "*",
+        F.when(color.isNotNull(), _attr(color, "product", "category", category, "high")).otherwise(_unknown()).alias("color"),
+        F.when(c.rlike("^SPARKLING WINE"), _attr("sparkling", "product", "category", category, "high"))
+        .when(n.rlike(r"\bFRIZZANTE\b|\bPETILLANT\b|\bMOSCATO D'ASTI\b"), _attr("lightly sparkling", "product", "name", name, "high"))
+        .when(
+            n.rlike(r"\bSPARKLING\b|\bSPUMANTE\b|\bPROSECCO\b|\bCAVA\b|\bCHAMPAGNE\b|\bCREMANT\b"),
+            _attr("sparkling", "product", "name", name, "high"),
+        )
+        .when(F.col("__f").isNotNull(), _text_attr(R.TEXT_FIZZ, F.col("__f"), d, g))
+        .otherwise(_attr("still", "product", "category", category, "medium"))
+        .alias("fizz"),
+        F.when(F.col("__r1").isNotNull(), _attr(F.get(places, F.col("__r1")), "product", "name", name, "high"))
+        .when(
+            F.col("__r2").isNotNull(),
+            _attr(
+                F.get(places, F.col("__r2")), "product", "listing_text",
+                quote_around(d, F.get(_strings(["(?i)" + p for p, _ in R.NAME_REGIONS]), F.col("__r2"))),
+                F.when(g, "low").otherwise("high"),
+            ),
+        )
+        .when(
+            F.col("__r3").isNotNull(),
+            _attr(F.get(_strings([r for _, r in R.CATEGORY_REGIONS]), F.col("__r3")), "product", "category", category, "high"),
+        )
+        .otherwise(_unknown())
+        .alias("region"),
+        F.when(
+            F.col("__l1").isNotNull(),
+            _attr(
+                F.get(_strings([v for _, v in R.LABEL_SWEETNESS]), F.col("__l1")), "product", "name", name, "high",
+                F.concat(F.lit("labeled "), F.initcap(F.regexp_substr(n, label))),
+            ),
+        )
+        .when(F.col("__s").isNotNull(), _text_attr(R.TEXT_SWEETNESS, F.col("__s"), d, g))
+        .alias("__sweet"),
+        F.when(F.col("__b").isNotNull(), _text_attr(R.TEXT_BODY, F.col("__b"), d, g)).alias("__body"),
+        F.transform("__t", lambda i: _text_attr(R.TEXT_TAGS, i, d, g)).alias("__tags"),
+        F.when(
+            F.col("__a").isNotNull(),
+            F.struct(
+                F.get(_strings([x for _, x, _ in R.APPELLATIONS]), F.col("__a")).alias("grape"),
+                F.get(_strings([x for _, _, x in R.APPELLATIONS]), F.col("__a")).alias("note"),
+            ),
+        ).alias("__ap"),
     )
 
     def grapes(value: Column, source: str, quote: Column, confidence, note=None) -> Column:
@@ -304,28 +362,40 @@ def attribute_extract(items: DataFrame, key: str = "key") -> DataFrame:
     def applies(sql: str) -> Column:
         return F.coalesce(F.expr(re.sub(r"'[^']*'|\b(" + "|".join(names) + r")\b", lambda m: f"__k.{m[1]}" if m[1] else m[0], sql)), F.lit(False))
 
-    def style(rule, value) -> Column:
-        k, condition, _, _, _, confidence, note = rule
-        return F.when(applies(condition), _attr(value, "style", f"style:{k}", None, confidence, note))
+    holding = F.array(*[applies(rule[1]) for rule in R.STYLE_RULES])
+    flat = flat.withColumn("__style", _named(F.expr(f"sequence(0, {len(R.STYLE_RULES) - 1})"), holding))
 
-    sweet = [style(r, r[2]) for r in R.STYLE_RULES if r[2]]
-    body = [style(r, r[3]) for r in R.STYLE_RULES if r[3]]
-    styled = []
-    for tag in dict.fromkeys(r[4] for r in R.STYLE_RULES if r[4]):
-        has = F.exists("__tags", _valued(tag))
-        styled.append(F.when(~has, _first([style(r, tag) for r in R.STYLE_RULES if r[4] == tag])))
+    def style(part: int) -> Column:
+        """What the first style rule that holds says about one attribute."""
+        says = F.array(*[F.lit(rule[part]).cast("string") for rule in R.STYLE_RULES])
+        i = F.get(F.filter("__style", lambda i: F.get(says, i).isNotNull()), F.lit(0))
+        return F.when(i.isNotNull(), _style_attr(F.get(says, i), i))
+
+    said = F.transform("__tags", lambda t: t["value"])
+    tag_of = F.array(*[F.lit(rule[4]).cast("string") for rule in R.STYLE_RULES])
+    fresh = F.array_except(F.array_compact(F.transform("__style", lambda i: F.get(tag_of, i))), said)
+    styled = F.transform(
+        fresh, lambda tag: _style_attr(tag, F.get(F.filter("__style", lambda i: F.get(tag_of, i) == tag), F.lit(0)))
+    )
     return flat.select(
         *keep,
         "color",
         "grapes",
         "region",
         "fizz",
-        _first([F.col("__sweet"), *sweet, _unknown()]).alias("sweetness"),
-        _first([F.col("__body"), *body, _unknown()]).alias("body"),
-        F.concat("__tags", F.array_compact(F.array(*styled))).alias("tags"),
+        _first([F.col("__sweet"), style(2), _unknown()]).alias("sweetness"),
+        _first([F.col("__body"), style(3), _unknown()]).alias("body"),
+        F.concat("__tags", styled).alias("tags"),
     )
 
 
+def _style_attr(value: Column, rule: Column) -> Column:
+    def part(i: int, prefix: str = "") -> Column:
+        return F.get(_strings([prefix + r[i] for r in R.STYLE_RULES]), rule)
+
+    return _attr(value, "style", part(0, "style:"), None, part(5), part(6))
+
+
 def input_hash(items: DataFrame, fields: Sequence[str]) -> Column:
     """Changes when the rules or an input field change."""
     return F.sha1(F.concat_ws("␟", F.lit(R.VERSION), *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields]))

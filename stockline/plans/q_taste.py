@@ -6,6 +6,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from .. import session
 from ..functions import taste_rules as R
 from ..operators import feeds, taste as T
 from .registry import define, query
@@ -144,8 +145,17 @@ define(
 )
 
 
+_PROFILES: dict = {}
+
+
 def profiles(t):
-    return T.attribute_extract(wines(t))
+    """The profile of every listing, written once per session as the job that
+    extracts them would, and read by everything that ranks or reports."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _PROFILES:
+        with session.many_rules(t.spark):
+            _PROFILES[key] = session.checkpointed(T.attribute_extract(wines(t)))
+    return _PROFILES[key]
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,3 +43,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="stockline-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def many_rules(spark: SparkSession):
+    """For plans of hundreds of rules: the search for shared subexpressions takes
+    far longer than evaluating them, so it is off while such a plan runs."""
+    name = "spark.sql.subexpressionElimination.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
