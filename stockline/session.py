@@ -30,18 +30,23 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder named by spark.checkpoint.dir.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written intermediate tables.
 
-    Reliable checkpoints survive the loss of executors. Only where the cluster
-    names no folder (local tests) is a temporary one set.
-    """
-    sc = df.sparkSession.sparkContext
+    It is the one the cluster names in spark.checkpoint.dir. Only where none is
+    named, in local tests, is a temporary folder set."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="stockline-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint, which survives lost executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
