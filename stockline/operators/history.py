@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import skew, times
+from ..session import checkpointed
 
 OUTAGE_HOURS = 48
 _DAY = F.to_date
@@ -231,11 +232,14 @@ def stock_metrics(
     as_of: datetime,
     since: datetime | None = None,
 ) -> DataFrame:
-    """One row per listed key with every shelf measure."""
-    days = observed_days(runs, since)
+    """One row per listed key with every shelf measure.
+
+    The observed days (one row a day) and the day grid are each read by several
+    measures, so both are written once instead of being computed again."""
+    days = checkpointed(observed_days(runs, since))
     start = days.agg(F.min("t_first")).scalar()
     known = listed.where(F.col("delisted_at").isNull())
-    grid = day_grid(state_intervals(obs.join(known.select("csc"), "csc", "left_semi")), days, as_of)
+    grid = checkpointed(day_grid(state_intervals(obs.join(known.select("csc"), "csc", "left_semi")), days, as_of))
     per_day = stores_per_day(grid, outage_capped_intervals(store_obs, runs), days, store_obs, as_of)
     zero = F.lit(0)
     return (

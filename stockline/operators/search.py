@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import textkeys as k
 from ..functions import times
+from ..session import checkpointed
 from . import geo
 
 _GRAM = 3
@@ -100,10 +101,13 @@ def search_ranked(
     """One page of ranked results per query, with the total number of matches.
 
     ``near``: keys with fresh stock near the visitor, when an area is chosen.
+    The matches are read twice, to rank and to count them, so they are written
+    once; ranking cuts each query to its page before the shuffle.
     """
     items = catalog if filters is None else catalog.where(filters)
-    hits = token_match(items, queries).join(items, "csc")
-    totals = hits.groupBy("q").agg(F.count("*").alias("total"))
+    matched = checkpointed(token_match(items, queries))
+    hits = matched.join(items, "csc")
+    totals = matched.groupBy("q").agg(F.count("*").alias("total"))
     if near is not None:
         hits = hits.join(near.select("csc", F.lit(1).alias("near")), "csc", "left").fillna(0, ["near"])
     else:

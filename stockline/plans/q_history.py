@@ -68,7 +68,7 @@ define("o_listed_per_day", _PER_DAY.format(grid="o_listed_grid"))
 
 
 def _days(t):
-    return h.observed_days(t.runs)
+    return t.days
 
 
 def _grid(t):

@@ -147,7 +147,7 @@ define(
 
 @query("watched_months", "select period_month::varchar as period_month, days from o_watched_months")
 def _(t):
-    return s.watched_months(history.observed_days(t.runs), t.sales_live).withColumn("period_month", times.text("period_month"))
+    return s.watched_months(t.days, t.sales_live).withColumn("period_month", times.text("period_month"))
 
 
 define(
@@ -208,7 +208,7 @@ def rated(t):
     stock = q_history.stock(t)
     hist = s.sales_history(t.sales_live)
     trailing = s.sales_trailing12(t.sales_live)
-    days = history.observed_days(t.runs)
+    days = t.days
     universe = s.assess_universe(stock, hist, trailing, t.draws_live)
     watched = (
         s.sales_months(t.sales_live)

@@ -256,6 +256,13 @@ class Tables:
             )
         )
 
+    @cached_property
+    def days(self) -> DataFrame:
+        """Observed days, one row a day; written once, as many measures read them."""
+        from ..operators import history
+
+        return checkpointed(history.observed_days(self.runs))
+
     @cached_property
     def latest(self) -> DataFrame:
         return self.obs.groupBy("csc").agg(
