@@ -15,7 +15,6 @@ from ..functions import skew, times
 from ..session import checkpointed
 
 OUTAGE_HOURS = 48
-_DAY = F.to_date
 
 
 def _day(c: str = "seen_at") -> Column:

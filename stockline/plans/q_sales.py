@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..functions import times
-from ..operators import history, sales as s
+from ..operators import sales as s
 from . import q_history
 from .registry import define, query
 

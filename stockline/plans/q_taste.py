@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import session
 from ..functions import taste_rules as R
-from ..operators import feeds, taste as T
+from ..operators import taste as T
 from .registry import define, query
 
 # Names, categories and opening sentences dealt out to documents.
