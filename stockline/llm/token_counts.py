@@ -39,7 +39,7 @@ def vocabulary(path: str) -> dict[str, float]:
 
 
 class Counter:
-    def __init__(self, pieces: dict[str, float], most: int = 400_000, most_chars: int = 16_000_000):
+    def __init__(self, pieces: dict[str, float], most: int = 1_000_000, most_chars: int = 24_000_000):
         import ahocorasick
 
         for p, score in pieces.items():
@@ -62,22 +62,27 @@ class Counter:
 
     def solve(self, part: str) -> tuple[float, int]:
         """Score and number of pieces of the best path."""
-        n = len(part)
-        matches: list[list[tuple[int, float]]] = [[] for _ in range(n)]
-        for end, match in self.automaton.iter(part):
-            matches[end].append(match)
-        best, count = [0.0] * (n + 1), [0] * (n + 1)
-        for i in range(n):
-            top, pieces = None, 0
-            for length, score in sorted(matches[i], reverse=True):  # the earliest start first
-                at = best[i + 1 - length] + score
-                if top is None or at > top:
-                    top, pieces = at, count[i + 1 - length] + 1
-            if part[i] not in self.single:
-                at = best[i] + self.unknown
-                if top is None or at > top:
-                    top, pieces = at, count[i] + len(part[i].encode())
-            best[i + 1], count[i + 1] = top, pieces
+        n, single = len(part), self.single
+        best: list[float | None] = [0.0] + [None] * n
+        count, done = [0] * (n + 1), 0
+
+        def alone(upto: int) -> None:
+            """The characters before ``upto`` that stand for no piece, now that all matches there are in."""
+            for i in range(done, upto):
+                if part[i] not in single:
+                    at = best[i] + self.unknown
+                    if best[i + 1] is None or at > best[i + 1]:
+                        best[i + 1], count[i + 1] = at, count[i] + len(part[i].encode())
+
+        # Matches come by their ends, and at one end the longest, which starts first, comes first.
+        for end, (length, score) in self.automaton.iter(part):
+            if done < end:
+                alone(end)
+                done = end
+            at = best[end + 1 - length] + score
+            if best[end + 1] is None or at > best[end + 1]:
+                best[end + 1], count[end + 1] = at, count[end + 1 - length] + 1
+        alone(n)
         return best[n], count[n]
 
     def _codes(self, parts: list[str]) -> np.ndarray:
