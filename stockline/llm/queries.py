@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, quality_rules, sharding, token_counts, token_files
+from . import decontam, ngram_join, packing, quality_rules, sharding, token_counts, token_files
 from .common import table
 from .token_cache import tokenizer_path
 
@@ -15,6 +15,15 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.layout(40))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_digest(table(spark, sf_dir, "documents"))
 
@@ -33,6 +42,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sharding, op6_quality_rules, op7_packing, op9_token_files, op10_token_counts)
+    f.__name__: f for f in (op2_sharding, op3_ngram_join, op5_decontamination, op6_quality_rules, op7_packing, op9_token_files, op10_token_counts)
 }
 ORACLES: dict[str, str] = {"op6_quality_rules": quality_rules.ORACLE}
