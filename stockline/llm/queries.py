@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, ngram_join, packing, quality_rules, sharding, token_counts, token_files
+from . import decontam, line_dedup, ngram_join, packing, quality_rules, sharding, token_counts, token_files
 from .common import table
 from .token_cache import tokenizer_path
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.judged_lines(table(spark, sf_dir, "documents")).drop("th")
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), sharding.layout(40))
 
@@ -42,6 +46,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_sharding, op3_ngram_join, op5_decontamination, op6_quality_rules, op7_packing, op9_token_files, op10_token_counts)
+    f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_ngram_join, op5_decontamination, op6_quality_rules, op7_packing, op9_token_files, op10_token_counts)
 }
 ORACLES: dict[str, str] = {"op6_quality_rules": quality_rules.ORACLE}
