@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, ngram_join, packing, quality_rules, sharding, token_counts, token_files
+from . import decontam, line_dedup, ngram_join, packing, quality_model, quality_rules, sharding, token_counts, token_files
 from .common import table
 from .token_cache import tokenizer_path
 
@@ -36,6 +36,10 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_files.write_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2, vocabulary=50_257)
     return token_files.read_tokens(files)
@@ -46,6 +50,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_ngram_join, op5_decontamination, op6_quality_rules, op7_packing, op9_token_files, op10_token_counts)
+    f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_ngram_join, op5_decontamination, op6_quality_rules, op7_packing, op8_quality_model, op9_token_files, op10_token_counts)
 }
 ORACLES: dict[str, str] = {"op6_quality_rules": quality_rules.ORACLE}
