@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, ngram_join, packing, quality_model, quality_rules, sharding, token_counts, token_files
+from . import decontam, line_dedup, ngram_join, packing, quality_model, quality_rules, secret_scan, sharding, token_counts, token_files
 from .common import table
 from .token_cache import tokenizer_path
 
@@ -24,6 +24,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "n_shingles", "component_id")
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -50,6 +54,6 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_ngram_join, op5_decontamination, op6_quality_rules, op7_packing, op8_quality_model, op9_token_files, op10_token_counts)
+    f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_ngram_join, op4_secret_scan, op5_decontamination, op6_quality_rules, op7_packing, op8_quality_model, op9_token_files, op10_token_counts)
 }
 ORACLES: dict[str, str] = {"op6_quality_rules": quality_rules.ORACLE}
