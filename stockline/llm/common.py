@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import checkpointed, prepare, shared_folder
 
-__all__ = ["SPACES", "checkpointed", "fresh_folder", "prepare", "table", "written"]
+__all__ = ["SPACES", "checkpointed", "fresh_folder", "keep_where", "prepare", "table", "written"]
 
 # The white space that parts words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -31,6 +31,13 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """A filter that is not moved below the columns it reads, which would compute them twice.
+    Filters do not pass a projection with a row number."""
+    numbered = df.withColumn("__place__", F.monotonically_increasing_id())
+    return numbered.filter(condition & (F.col("__place__") >= 0)).drop("__place__")
+
+
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import SPACES, WORD
+from .common import SPACES, WORD, keep_where
 
 # Separators of menus, stock phrases, and ends of sentences.
 SEPARATORS = "|<>»•·"
@@ -63,9 +63,9 @@ def line_passes(line: Column, rules: Rules = Rules()) -> Column:
     return (words == 0) | ~fails
 
 
-def clean_lines(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFrame:
-    """``docs`` with a struct ``rules_``: the contract's counts, ``clean`` (the text of the
-    lines kept), ``lines_removed``, ``base_failed`` and ``kept``."""
+def judged(docs: DataFrame, rules: Rules = Rules(), text: str = "text") -> DataFrame:
+    """A struct ``row`` with the columns of ``docs``, and a struct ``rules_``: the contract's counts,
+    ``clean`` (the text of the lines kept), ``lines_removed``, ``base_failed`` and ``kept``."""
     raw = F.coalesce(F.col(text), F.lit(""))
     base = docs.select(F.struct("*").alias("row"), raw.alias("t"))
     base = base.select(
@@ -112,7 +112,7 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules(), text: str = "text") ->
     failed = (F.col("n") < rules.min_words) | (F.col("rep") * 100 > F.col("n") * rules.max_repeat_percent)
     lost = F.col("chars") - F.length(F.translate("clean", SPACES, ""))
     return measured.select(
-        "row.*",
+        "row",
         F.struct(
             F.col("n").cast("long").alias("n_words"),
             F.col("chars").alias("word_chars"),
@@ -129,16 +129,16 @@ def clean_lines(docs: DataFrame, rules: Rules = Rules(), text: str = "text") ->
 
 def quality_digest(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """One row per document with its counts and verdict."""
-    r = clean_lines(docs.select("doc_id", "text"), rules)
+    r = judged(docs.select("doc_id", "text"), rules)
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lines_removed"]
-    return r.select("doc_id", *[F.col(f"rules_.{x}").alias(x) for x in names])
+    return r.select("row.doc_id", *[F.col(f"rules_.{x}").alias(x) for x in names])
 
 
 def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """The documents that are kept, their failing lines removed."""
-    r = clean_lines(docs, rules).filter("rules_.kept")
-    r = r.withColumn("text", F.col("rules_.clean")).withColumn("n_chars", F.length("rules_.clean").cast("long"))
-    return r.select(*docs.columns)
+    r = keep_where(judged(docs, rules), F.col("rules_.kept"))
+    new = {"text": F.col("rules_.clean"), "n_chars": F.length("rules_.clean").cast("long")}
+    return r.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def oracle_ctes() -> str:
