@@ -62,8 +62,7 @@ class Words:
 
 
 def _hash_span(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    size = 1 << 20 if len(data) <= 1 << 20 else 1 << (len(data) - 1).bit_length()
-    up, down = _powers(max(size, 1 << 23))
+    up, down = _powers(1 << max(22, (len(data)).bit_length()))
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((LOWER[data].astype(np.uint64) + _U(1)) * up[: len(data)], out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
