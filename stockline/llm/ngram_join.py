@@ -32,7 +32,8 @@ from .common import written
 from .components import components
 
 SHINGLE = 5
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
+COUNTED = 2_000_000
 MOST_FREQUENT = 1 << 20
 FREQUENT_FROM = 4
 SLOTS = 1 << 23
@@ -82,10 +83,20 @@ def frequent_shingles(docs: DataFrame) -> np.ndarray:
     """The shingles that stand out most, the least frequent first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            code, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            return pa.record_batch([pa.array(code[n > 1]), pa.array(n[n > 1])], names=["code", "n"])
+
         for batch in batches:
-            for a, b in slices(batch.column(0), 4 * SLICE_BYTES):
-                code, n = np.unique(_shingles(batch.column(0).slice(a, b - a))[0], return_counts=True)
-                yield pa.record_batch([pa.array(code[n > 1]), pa.array(n[n > 1])], names=["code", "n"])
+            for a, b in slices(batch.column(0), SLICE_BYTES):
+                held.append(_shingles(batch.column(0).slice(a, b - a))[0])
+                if sum(map(len, held)) >= COUNTED:
+                    yield counted()
+        if held:
+            yield counted()
 
     counts = docs.select("text").mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     top = counts.filter(F.col("n") >= FREQUENT_FROM).orderBy(F.desc("n"), "code").limit(MOST_FREQUENT)
@@ -177,8 +188,9 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def similar_groups(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, text_hash, place, n_shingles and
-    component_id, the smallest doc_id reachable by links."""
+    """One row per row of ``docs`` (doc_id, text): doc_id, text_hash, place, n_shingles,
+    component_id (the smallest doc_id reachable by links), and comp, a number of the group, which
+    also tells groups apart that share an id."""
     frequent = frequent_shingles(docs)
     rows = _profiles(docs, frequent)
     full = rows.filter("n > 0")
@@ -188,11 +200,13 @@ def similar_groups(docs: DataFrame) -> DataFrame:
     members = written(classes.join(groups, ["g1", "g2", "n"]).select("cls", "c1", "c2", "n", "grp", "low", "m"), "ngram-members")
     # A group's prefix is that of its first row.
     heads = members.filter("cls = grp").select(F.col("cls").alias("place"), "grp", "m")
-    entries = rows.select("place", "n", "prefix").join(heads, "place").select("grp", "n", "m", F.posexplode("prefix").alias("pos", "tok"))
-    entries = entries.select("tok", "grp", "n", (F.col("pos") + 1).alias("pos"), "m")
-    leads = entries.groupBy("tok").agg(F.min(F.struct("grp", "n", "pos")).alias("lead"), F.sum("m").alias("m")).filter("m > 1")
-    buckets = entries.drop("m").join(leads.select("tok", "lead"), "tok")
-    buckets = written(buckets.select("tok", "grp", "n", "pos", F.col("lead.grp").alias("l_grp"), F.col("lead.n").alias("l_n"), F.col("lead.pos").alias("l_pos")), "ngram-buckets")
+    at = (F.col("n").cast("long") * (1 << 32) + F.col("pos") + 1).alias("at")
+    entries = rows.select("place", "n", "prefix").join(heads, "place").select("grp", "n", "m", F.posexplode("prefix").alias("pos", "tok")).select("tok", "grp", at, "m")
+    leads = entries.groupBy("tok").agg(F.min("grp").alias("l_grp"), F.sum("m").alias("m")).filter("m > 1").drop("m")
+    shared = entries.drop("m").join(leads, "tok")
+    shared = written(shared.select("tok", "grp", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("pos"), "l_grp"), "ngram-shared")
+    leader = shared.filter("grp = l_grp").select("tok", F.col("n").alias("l_n"), F.col("pos").alias("l_pos"))
+    buckets = written(shared.join(leader, "tok"), "ngram-buckets")
 
     def wanted(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
@@ -230,20 +244,21 @@ def similar_groups(docs: DataFrame) -> DataFrame:
 
     final = members.join(components(links).withColumnRenamed("node", "cls"), "cls", "left").withColumn("comp", F.coalesce("component", "cls"))
     lows = final.groupBy("comp").agg(F.min("low").alias("component_id"))
-    found = final.join(lows, "comp").select("c1", "c2", "n", "component_id")
+    found = final.join(lows, "comp").select("c1", "c2", "n", "component_id", "comp")
     return rows.join(found, ["c1", "c2", "n"], "left").select(
         "doc_id",
         "text_hash",
         "place",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "comp",
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group: its first by doc_id. Documents without words stay."""
     groups = similar_groups(docs)
-    first = groups.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct("doc_id", "place")).alias("first"))
+    first = groups.filter("n_shingles > 0").groupBy("comp").agg(F.min(F.struct("doc_id", "place")).alias("first"))
     kept = groups.join(first.select(F.col("first.place").alias("place")), "place", "left_semi").unionByName(groups.filter("n_shingles = 0"))
     name = F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id")
     kept = kept.groupBy(name, F.col("text_hash").alias("th")).agg(F.count("*").alias("copies"))
