@@ -7,6 +7,7 @@ adjoining cells.
 
 from __future__ import annotations
 
+import math
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -28,34 +29,43 @@ def miles(lat1: Column, lng1: Column, lat2: Column, lng2: Column) -> Column:
     return EARTH_MILES * 2 * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
 
 
-def stores_within(areas: DataFrame, stores: DataFrame, radius: float = NEAR_MILES, public: bool = True, max_lat: float = 60.0) -> DataFrame:
-    """(area, id, miles) of located stores within ``radius`` of each area.
+def _cells_around(row: Column, high: float, radius: float) -> Column:
+    """Number of equal cells that circle the globe in a row of latitude ``high`` degrees high.
+
+    A cell is at least as wide as the longitudes that ``radius`` can span from a
+    point in this row or the next; where that circles the pole, one cell is all."""
+    top = (F.greatest(F.abs(row), F.abs(row + 1)) + 1) * high
+    share = math.sin(min(radius / EARTH_MILES, math.pi / 2)) / F.cos(F.radians(F.least(top, F.lit(89.999))))
+    cells = F.floor(360 / (F.degrees(F.asin(F.least(share, F.lit(1.0)))) * 1.01))
+    return F.when((top >= 89.9) | (share >= 1), F.lit(1)).otherwise(F.greatest(cells, F.lit(1))).cast("int")
 
-    ``areas``: (area, lat, lng). Cells are as wide as the radius up to
-    ``max_lat``, so every store in reach lies in one of nine cells."""
-    import math
 
+def stores_within(areas: DataFrame, stores: DataFrame, radius: float = NEAR_MILES, public: bool = True) -> DataFrame:
+    """(area, id, miles) of located stores within ``radius`` of each area.
+
+    ``areas``: (area, lat, lng). Rows of latitude are as high as the radius and
+    are cut into cells as wide as it, more degrees towards the poles; cells
+    close the circle at 180 degrees. Every store in reach lies in one of the
+    three cells around the area in its own row or the rows beside it."""
     high = radius / _MILES_PER_DEGREE * 1.01
-    wide = high / math.cos(math.radians(max_lat))
     placed = stores.where("lat is not null and lng is not null")
     if public:
         placed = placed.where("not is_club")
-    cells = placed.select(
-        "id", "lat", "lng", F.floor(F.col("lat") / high).alias("cy"), F.floor(F.col("lng") / wide).alias("cx")
-    )
-    around = F.array(F.lit(-1), F.lit(0), F.lit(1))
+
+    def cell(lng: str, cells: Column) -> Column:
+        return F.pmod(F.floor((F.col(lng) + 180) / 360 * cells), cells.cast("long"))
+
+    cells = placed.select("id", "lat", "lng", F.floor(F.col("lat") / high).cast("int").alias("cy"))
+    cells = cells.withColumn("__n", _cells_around(F.col("cy"), high, radius)).withColumn("cx", cell("lng", F.col("__n"))).drop("__n")
     asked = (
         areas.select("area", F.col("lat").alias("a_lat"), F.col("lng").alias("a_lng"))
-        .withColumn("dy", F.explode(around))
-        .withColumn("dx", F.explode(around))
-        .select(
-            "area",
-            "a_lat",
-            "a_lng",
-            (F.floor(F.col("a_lat") / high) + F.col("dy")).alias("cy"),
-            (F.floor(F.col("a_lng") / wide) + F.col("dx")).alias("cx"),
-        )
+        .withColumn("dy", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+        .withColumn("cy", (F.floor(F.col("a_lat") / high) + F.col("dy")).cast("int"))
+        .withColumn("__n", _cells_around(F.col("cy"), high, radius))
     )
+    here, n = cell("a_lng", F.col("__n")), F.col("__n").cast("long")
+    beside = F.array_distinct(F.array(F.pmod(here - 1, n), here, F.pmod(here + 1, n)))
+    asked = asked.select("area", "a_lat", "a_lng", "cy", F.explode(beside).alias("cx"))
     d = miles(F.col("a_lat"), F.col("a_lng"), F.col("lat"), F.col("lng"))
     return asked.join(cells, ["cy", "cx"]).withColumn("miles", d).where(F.col("miles") <= radius).select("area", "id", "miles")
 
@@ -73,20 +83,24 @@ def area_centroids(stores: DataFrame, by: str = "city") -> DataFrame:
 def nearest_stores(points: DataFrame, stores: DataFrame, n: int = 3, start: float = 200.0, globe: float = 12800.0) -> DataFrame:
     """The ``n`` nearest public stores of each point.
 
-    A first circle serves nearly every point; points that found fewer stores
-    look again over the whole globe, so no point is left short."""
+    A first circle serves nearly every point. Points that found fewer stores look
+    again in a circle eight times as wide, and so on up to the whole globe, so no
+    point is left short."""
     usable = stores.where("lat is not null and lng is not null and not is_club")
     enough = F.least(F.lit(n), usable.agg(F.count("*")).scalar())
     by_distance = Window.partitionBy("area").orderBy("miles", "id")
-
-    def top(of: DataFrame, radius: float) -> DataFrame:
-        near = stores_within(of, usable, radius, max_lat=85.0)
-        return near.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= n)
-
-    first = top(points, start).withColumn("__found", F.count("*").over(Window.partitionBy("area")))
-    served = first.where(F.col("__found") >= enough).drop("__found")
-    left = points.join(served.select("area").distinct(), "area", "left_anti")
-    return served.unionByName(top(left, globe))
+    radii = [start]
+    while radii[-1] < globe:
+        radii.append(min(radii[-1] * 8, globe))
+    served, left = None, points
+    for radius in radii:
+        near = stores_within(left, usable, radius)
+        top = near.withColumn("rank", F.row_number().over(by_distance)).where(F.col("rank") <= n)
+        if radius < globe:
+            top = top.withColumn("__found", F.count("*").over(Window.partitionBy("area"))).where(F.col("__found") >= enough).drop("__found")
+            left = left.join(top.select("area").distinct(), "area", "left_anti")
+        served = top if served is None else served.unionByName(top)
+    return served
 
 
 def can_claim_none(checked_at: str | Column, as_of: datetime, hours: int = NONE_HOURS) -> Column:

@@ -290,16 +290,27 @@ def drop_false_restocks(changes: DataFrame, obs: DataFrame, max_minutes: int) ->
     return changes.join(false_ids, "event_id", "left_anti")
 
 
+def _hash_halves(line: Column) -> list[Column]:
+    """Two independent 60-bit numbers of a line, as decimals that can be added up."""
+    digest = F.sha2(line, 256)
+    return [F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)") for at in (1, 16)]
+
+
+def _joined_sums(a: Column, b: Column) -> Column:
+    """One text of both sums: equal only if both are."""
+    return F.concat_ws("-", a.cast("string"), b.cast("string"))
+
+
 def month_manifest(lines: DataFrame) -> DataFrame:
     """Per month: lines, codes, reused codes, totals and an order-free content hash.
 
     The hash adds up per-line hashes as decimals, so that no month is gathered."""
-    h = F.conv(F.substring(F.sha2(F.concat_ws("|", "line", "item_code", "bottles", "dollars"), 256), 1, 12), 16, 10)
+    halves = _hash_halves(F.concat_ws("|", "line", "item_code", "bottles", "dollars"))
     per_code = lines.groupBy("period_month", "item_code").agg(
         F.count("*").alias("n"),
         F.sum("dollars").alias("dollars"),
         F.sum("bottles").alias("bottles"),
-        F.sum(h.cast("decimal(20,0)")).alias("h"),
+        *[F.sum(h).alias(f"h{i}") for i, h in enumerate(halves)],
     )
     return per_code.groupBy("period_month").agg(
         F.sum("n").alias("lines"),
@@ -307,7 +318,7 @@ def month_manifest(lines: DataFrame) -> DataFrame:
         F.count_if(F.col("n") > 1).alias("reused_codes"),
         F.sum("dollars").alias("sum_dollars"),
         F.sum("bottles").alias("sum_bottles"),
-        F.sum("h").cast("string").alias("content_hash"),
+        _joined_sums(F.sum("h0"), F.sum("h1")).alias("content_hash"),
     )
 
 
@@ -408,8 +419,7 @@ def list_hashes(lists: DataFrame, by: str) -> DataFrame:
     the one before. Line hashes are added up, so no list is gathered; the last
     step orders one row per list."""
     line = F.upper(F.concat_ws("|", "product_name", F.col("store_id").cast("string"), F.col("bottle_qty").cast("string")))
-    h = F.conv(F.substring(F.md5(line), 1, 12), 16, 10).cast("decimal(20,0)")
-    per = lists.groupBy(by).agg(F.count("*").alias("rows"), F.sum(h).cast("string").alias("list_hash"))
+    per = lists.groupBy(by).agg(F.count("*").alias("rows"), _joined_sums(*[F.sum(h) for h in _hash_halves(line)]).alias("list_hash"))
     prev = F.lag("list_hash").over(Window.orderBy(by))
     return per.withColumn("changed", ~F.col("list_hash").eqNullSafe(prev))
 
@@ -491,7 +501,7 @@ def columnar_answers(responses: DataFrame, key: str, body: str) -> DataFrame:
             F.col("c.column").alias("column"),
             F.col("c.total").alias("total"),
             F.coalesce(col["nullIndex"], none).alias("nulls"),
-            col["stringColumn"]["values"].alias("values"),
+            F.coalesce(col["stringColumn"]["values"], F.array().cast("array<string>")).alias("values"),
         )
         .withColumn("fits", F.size("values") == F.col("total") - F.size("nulls"))
     )
@@ -500,8 +510,11 @@ def columnar_answers(responses: DataFrame, key: str, body: str) -> DataFrame:
 def unpack_columnar(responses: DataFrame, key: str, body: str) -> DataFrame:
     """Rows ``(key, column, row, value)`` of columnar JSON answers.
 
-    Values fill the row numbers that are not gaps, in order."""
-    answers = columnar_answers(responses, key, body).where("fits and total > 0")
+    Values fill the row numbers that are not gaps, in order. A column whose
+    values and gaps do not add up to the total fails the whole job."""
+    answers = columnar_answers(responses, key, body)
+    uneven = F.raise_error(F.concat(F.lit("column "), F.col("column").cast("string"), F.lit(" does not add up in "), F.col(key).cast("string")))
+    answers = answers.withColumn("values", F.when(F.col("fits"), F.col("values")).otherwise(uneven)).where("total > 0")
     filled = F.array_except(F.expr("sequence(0, total - 1)"), F.col("nulls"))
     cells = F.concat(
         F.transform(

@@ -23,6 +23,8 @@ CITY_FIXES = {
     "PARKCITY": "Park City", "SLC": "Salt Lake City", "SOUTH ODGEN": "South Ogden", "ST GEORGE": "St. George",
     "SOUTH SALT LAKE": "South Salt Lake", "LA VERKIN": "La Verkin", "MARRIOTT-SLATERVILLE": "Marriott-Slaterville",
 }
+# Fixed value: a word with the marks it may hold, or what stands between words.
+WORD_OR_GAP = "[a-z0-9][a-z0-9'’.]*|[^a-z0-9]+"
 SMALL_WORDS = ["of", "and", "the", "at", "on", "in", "a", "de", "la", "el"]
 
 
@@ -64,6 +66,11 @@ def city_key(city: str | Column) -> Column:
     return _mapped(CITY_ALIASES, F.trim(F.regexp_replace(c, r"\s+", " ")))
 
 
+def _rest(a: Column) -> Column:
+    """All but the first."""
+    return F.slice(a, F.lit(2), F.greatest(F.size(a), F.lit(0)))
+
+
 def _keys(df: DataFrame, street: Column, city: Column, keep: list[str]) -> DataFrame:
     tokens = street_tokens(street)
     df = df.select(*keep, tokens.alias("__t"), city.alias("city_key"))
@@ -74,7 +81,7 @@ def _keys(df: DataFrame, street: Column, city: Column, keep: list[str]) -> DataF
         "city_key",
         F.array_join("__t", " ").alias("full_key"),
         F.array_join(bare, " ").alias("bare_key"),
-        F.when(numbered, F.array_join(F.slice(bare, 2, 100), " ")).alias("street_key"),
+        F.when(numbered, F.array_join(_rest(bare), " ")).alias("street_key"),
     )
 
 
@@ -85,7 +92,7 @@ def address_store_match(texts: DataFrame, text: str, stores: DataFrame) -> DataF
     the named city), then the only store on that street of that city. Each
     stage is an equi-join on a derived key."""
     parts = F.filter(F.transform(F.split(F.col(text), ","), lambda p: F.trim(p)), lambda p: p != "")
-    named = F.filter(F.transform(F.slice(parts, 2, 100), city_key), lambda c: c != "")
+    named = F.filter(F.transform(_rest(parts), city_key), lambda c: c != "")
     asked = _keys(
         texts.select(text).distinct(), F.coalesce(F.get(parts, F.lit(0)), F.lit("")), F.coalesce(F.get(named, F.lit(0)), F.lit("")), [text]
     )
@@ -118,18 +125,18 @@ def address_store_match(texts: DataFrame, text: str, stores: DataFrame) -> DataF
 
 
 def title_case(c: str | Column) -> Column:
-    """"BEERHIVE PUB" -> "Beerhive Pub"; mixed case is kept."""
+    """"BEERHIVE PUB" -> "Beerhive Pub"; mixed case is kept.
+
+    The text falls into words (letters, digits, and the marks within them) and what
+    stands between; small words stay small unless the text begins with them."""
     c = times.col(c)
-    words = F.split(F.lower(c), " ")
+    parts = F.regexp_extract_all(F.lower(c), F.lit(WORD_OR_GAP), F.lit(0))
 
     def cap(w: Column, i: Column) -> Column:
-        small = (i > 0) & w.isin(SMALL_WORDS)
-        lead = F.regexp_extract(w, r"^[^a-z0-9]*", 0)
-        rest = F.substr(w, F.length(lead) + 1)
-        up = F.concat(lead, F.upper(F.substring(rest, 1, 1)), F.substr(rest, F.lit(2)))
-        return F.when(small, w).otherwise(up)
+        plain = ~w.rlike("^[a-z0-9]") | ((i > 0) & w.isin(SMALL_WORDS))
+        return F.when(plain, w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
 
-    return F.when(c != F.upper(c), c).otherwise(F.array_join(F.transform(words, cap), " "))
+    return F.when(c != F.upper(c), c).otherwise(F.array_join(F.transform(parts, cap), ""))
 
 
 def city_from_address(address: str | Column) -> Column:

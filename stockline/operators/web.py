@@ -372,16 +372,17 @@ def intent_funnel(requests: DataFrame, as_of: datetime, ttl_hours: int = 24) ->
 
 
 def list_identity(source: str, params: Column, area: Column, results: Column) -> Column:
-    """A hash naming one displayed list: its sorted filters, area and size.
-    ``params``: array<struct<k, v>>; empty values do not count."""
+    """A hash naming one displayed list: its sorted filters, area and size, as JSON,
+    in which different lists never read alike. ``params``: array<struct<k, v>>; empty
+    values do not count. ``area``: a struct with label and coordinates, or null."""
     kept = F.array_sort(
         F.filter(
             F.transform(params, lambda p: F.struct(p["k"].alias("k"), F.when(p["k"] == "q", F.trim(p["v"])).otherwise(p["v"]).alias("v"))),
             lambda p: p["v"] != "",
         )
     )
-    pairs = F.array_join(F.transform(kept, lambda p: F.concat_ws("=", p["k"], p["v"])), "&")
-    return F.md5(F.concat_ws("|", times.col(source), pairs, area, results.cast("string")))
+    whole = F.struct(times.col(source).alias("source"), kept.alias("params"), area.alias("area"), results.alias("results"))
+    return F.sha2(F.to_json(whole, {"ignoreNullFields": "false"}), 256)
 
 
 def distinct_lists(shown: DataFrame) -> DataFrame:

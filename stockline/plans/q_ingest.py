@@ -356,8 +356,8 @@ def _(t):
     "list_change_detect",
     """select drop_date::varchar as drop_date, rows, list_hash, list_hash is distinct from lag(list_hash) over (order by drop_date) as changed
        from (select drop_date, count(*) as rows,
-                    sum(('0x' || substr(md5(upper(product_name || '|' || store_id || '|' || bottle_qty)), 1, 12))::bigint)::varchar as list_hash
-             from v_drops group by 1)""",
+                    sum(('0x' || substr(h, 1, 15))::bigint)::varchar || '-' || sum(('0x' || substr(h, 16, 15))::bigint)::varchar as list_hash
+             from (select *, sha256(upper(product_name || '|' || store_id || '|' || bottle_qty)) as h from v_drops) group by 1)""",
 )
 def _(t):
     return g.list_hashes(t.drops, "drop_date").withColumn("drop_date", times.text("drop_date"))

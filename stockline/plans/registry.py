@@ -54,7 +54,7 @@ def with_views(sql: str) -> str:
     names = _needed(sql, [])
     if not names:
         return sql
-    views = ",\n".join(f"{n} as (\n{CTES[n].strip()}\n)" for n in names)
+    views = ",\n".join(f"{n} as materialized (\n{CTES[n].strip()}\n)" for n in names)
     if re.match(r"with\b", sql, re.I):
         return f"with {views},\n{sql[4:].lstrip()}"
     return f"with {views}\n{sql}"

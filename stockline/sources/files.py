@@ -57,9 +57,16 @@ def replace_table(df: DataFrame, path: str, minimum_rows: int = 1) -> int:
     target = jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(hadoop)
     before = jvm.org.apache.hadoop.fs.Path(old)
-    if fs.exists(before):
-        fs.delete(before, True)
+    staging = jvm.org.apache.hadoop.fs.Path(staged)
     if fs.exists(target):
-        fs.rename(target, before)
-    fs.rename(jvm.org.apache.hadoop.fs.Path(staged), target)
+        # The old table is removed last, when the new one stands in its place.
+        if fs.exists(before) and not fs.delete(before, True):
+            raise OSError(f"{old} cannot be removed; {path} is unchanged")
+        if not fs.rename(target, before):
+            raise OSError(f"{path} cannot be moved away and is unchanged")
+        if not fs.rename(staging, target):
+            back = fs.rename(before, target)
+            raise OSError(f"{staged} cannot be moved; {path} is {'unchanged' if back else f'left at {old}'}")
+    elif not fs.rename(staging, target):
+        raise OSError(f"{staged} cannot be moved to {path}")
     return rows
