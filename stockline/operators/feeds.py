@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import skew, textkeys, times
@@ -155,43 +154,28 @@ def rank_view(items: DataFrame, as_of: datetime, has_area: bool, nearby_only: bo
     return items.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most)
 
 
-def round_robin(lists: dict[str, list[tuple[str, bool]]], size: int, has_area: bool) -> list[tuple[str, str]]:
-    """Views in turn, near items first, every item once."""
-    out: list[tuple[str, str]] = []
-    taken: set[str] = set()
-    for near_only in ([True, False] if has_area else [False]):
-        queues = {v: iter([c for c, near in lists.get(v, []) if near or not near_only]) for v in VIEWS}
-        live = list(VIEWS)
-        while live and len(out) < size:
-            for v in list(live):
-                if len(out) >= size:
-                    break
-                pick = next((c for c in queues[v] if c not in taken), None)
-                if pick is None:
-                    live.remove(v)
-                else:
-                    taken.add(pick)
-                    out.append((v, pick))
-    return out
-
-
 def mix_preview(ranked: DataFrame, size: int = 3, has_area: bool = True) -> DataFrame:
-    """A few different items taken from the views in turn.
+    """A few different items taken from the views in turn, near ones first.
 
-    No more than twice ``size`` rows of a view, near or not, can matter, so at
-    most a few dozen rows reach the one task that takes turns."""
+    The next pick is the smallest of (near or not, picks its view has had, view, place)
+    over the items not picked yet. No more than twice ``size`` rows of a view, near or not,
+    can matter; these few dozen are folded into the picks within one row."""
     near_rank = F.row_number().over(Window.partitionBy("view", "near").orderBy("place"))
-    top = ranked.withColumn("r", near_rank).where(F.col("r") <= 2 * size).select("view", "csc", "near", "place")
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("place")
-        lists = {v: list(zip(g["csc"], g["near"])) for v, g in pdf.groupby("view")}
-        picks = round_robin(lists, size, has_area)
-        return pd.DataFrame(
-            {"place": range(1, len(picks) + 1), "view": [v for v, _ in picks], "csc": [c for _, c in picks]}
-        )
-
-    return top.groupBy(F.lit(1).alias("all")).applyInPandas(take, "place int, view string, csc string")
+    top = ranked.withColumn("r", near_rank).where(F.col("r") <= 2 * size)
+    order = F.array_position(F.array(*map(F.lit, VIEWS)), F.col("view")).cast("int")
+    rounds = F.when(F.col("near"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1))) if has_area else F.array(F.lit(1))
+    rows = top.select(F.explode(rounds).alias("pass"), order.alias("turn"), "place", "view", "csc")
+    held = rows.agg(F.collect_list(F.struct("pass", "turn", "place", "view", "csc")).alias("rows"))
+    pick = "struct<pass:int,had:int,turn:int,place:int,view:string,csc:string>"
+
+    def take(picks: Column, _: Column) -> Column:
+        free = F.filter("rows", lambda r: ~F.exists(picks, lambda p: p["csc"] == r["csc"]))
+        had = lambda r: F.size(F.filter(picks, lambda p: (p["pass"] == r["pass"]) & (p["view"] == r["view"])))
+        keyed = F.transform(free, lambda r: F.struct(r["pass"], had(r).alias("had"), r["turn"], r["place"], r["view"], r["csc"]).cast(pick))
+        return F.array_compact(F.concat(picks, F.array(F.array_min(keyed))))
+
+    picks = F.aggregate(F.sequence(F.lit(1), F.lit(size)), F.array().cast(f"array<{pick}>"), take)
+    return held.select(F.posexplode(picks).alias("at", "p")).select((F.col("at") + 1).alias("place"), "p.view", "p.csc")
 
 
 def change_feed(changes: DataFrame, catalog: DataFrame, kinds: Iterable[str] | None = None, n: int = 100, include_special: bool = False) -> DataFrame:

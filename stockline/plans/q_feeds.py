@@ -113,7 +113,22 @@ def _(t):
     return ranked(t).select("view", "csc", "near", "place")
 
 
-@query("mix_preview")
+def _picks(size: int) -> str:
+    """The preview as SQL: a block for each pick, which sees those before it."""
+    rows = """rows_ as (
+        select 0 as pass, view, place, csc from o_view_rank where near and place <= 60
+        union all select 1, view, place, csc from o_view_rank where place <= 60)"""
+    blocks = [rows, "p0 as (select 0 as n, 0 as pass, '' as view, '' as csc where false)"]
+    for k in range(1, size + 1):
+        blocks.append(f"""p{k} as (
+            select * from p{k - 1} union all (
+            select {k}, pass, view, csc from rows_ r where csc not in (select csc from p{k - 1})
+            order by pass, (select count(*) from p{k - 1} p where p.pass = r.pass and p.view = r.view),
+                     list_position(['scarce', 'back', 'price'], view), place limit 1))""")
+    return f"with {', '.join(blocks)} select n::int as place, view, csc from p{size}"
+
+
+@query("mix_preview", _picks(3))
 def _(t):
     return f.mix_preview(ranked(t))
 

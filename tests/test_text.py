@@ -106,10 +106,19 @@ def test_sources(spark):
     assert _one(spark, "me+test2@x.org", clients.is_untracked) is True
 
 
-def test_round_robin_takes_each_once():
-    lists = {"scarce": [("a", False), ("b", True)], "back": [("b", True), ("c", True)], "price": [("d", False)]}
-    assert feeds.round_robin(lists, 3, True) == [("scarce", "b"), ("back", "c"), ("scarce", "a")]
-    assert feeds.round_robin(lists, 4, False) == [("scarce", "a"), ("back", "b"), ("price", "d"), ("back", "c")]
+def test_a_preview_takes_each_item_once(spark):
+    ranked = spark.createDataFrame(
+        [("scarce", "a", False, 2), ("scarce", "b", True, 1), ("back", "b", True, 1), ("back", "c", True, 2), ("price", "d", False, 1)],
+        "view string, csc string, near boolean, place int",
+    )
+    got = lambda n, area: [tuple(r) for r in feeds.mix_preview(ranked, n, area).orderBy("place").select("view", "csc").collect()]
+    assert got(3, True) == [("scarce", "b"), ("back", "c"), ("scarce", "a")]
+    swapped = ranked.withColumn("place", 3 - ranked["place"]).where("view = 'scarce'").unionByName(ranked.where("view <> 'scarce'"))
+    ranked = swapped
+    assert got(4, False) == [("scarce", "a"), ("back", "b"), ("price", "d"), ("back", "c")]
+    assert got(9, False) == [("scarce", "a"), ("back", "b"), ("price", "d"), ("back", "c")]
+    ranked = swapped.limit(0)
+    assert got(3, True) == []
 
 
 def test_blocks_skip_navigation():
