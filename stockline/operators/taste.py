@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import skew, taste_rules as R
 from ..functions.textkeys import lookup
@@ -754,7 +754,11 @@ def stratified_sample(
     and stock steps, so a large group is never sorted in one task."""
     rows = items.select(group, key, price, F.coalesce(F.col(stock), F.lit(-1)).alias("__s"), listed)
     rows = skew.ntile(rows, [group], [price, key], F.floor(F.col(price) / price_step), 3, "price_third")
-    rows = skew.ntile(rows, [group], ["__s", key], F.floor(F.col("__s") / stock_step), 3, "stock_third")
+    # Items of unknown stock are all tied, so they are cut along the key that breaks ties.
+    number = not isinstance(items.schema[key].dataType, T.StringType)
+    along = F.floor(F.col(key) / 1000) if number else F.substring(key, 1, 4)
+    steps = F.struct(F.floor(F.col("__s") / stock_step).alias("step"), F.when(F.col("__s") == -1, along).alias("part"))
+    rows = skew.ntile(rows, [group], ["__s", key], steps, 3, "stock_third")
     quota = lookup({g: str(q) for g, q in quotas.items()}, F.col(group)).cast("int")
     cell = Window.partitionBy(group, "price_third", "stock_third").orderBy(F.col(listed).desc(), F.md5(F.col(key).cast("string")), F.col(key))
     most = max(quotas.values())

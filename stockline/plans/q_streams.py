@@ -6,6 +6,8 @@ SQL leaves out windows still open at the end of the table.
 
 from __future__ import annotations
 
+from hashlib import md5
+
 from pyspark.sql import functions as F
 
 from ..streaming import live as s
@@ -17,6 +19,11 @@ def events(t):
     return s.read_events(t.spark, t.folder)
 
 
+def _drain(t, name, stream):
+    """Each query and folder has its own output and progress."""
+    return s.drain(stream, f"{name}-{md5(t.folder.encode()).hexdigest()}")
+
+
 def _naive(df, *cols):
     for c in cols:
         df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
@@ -32,7 +39,7 @@ define("o_slides", "select ts, user_id, event_type, unnest(generate_series(1, 10
        group by 1 having until <= (select t from clock) - interval 10 minute""",
 )
 def _(t):
-    return _naive(s.drain(s.live_visitors(events(t))), "until")
+    return _naive(_drain(t, "stream_live_visitors", s.live_visitors(events(t))), "until")
 
 
 @query(
@@ -43,7 +50,7 @@ def _(t):
        having closes_at <= (select t from clock) - interval 1 hour""",
 )
 def _(t):
-    return _naive(s.drain(s.sessions(events(t))), "started_at", "closes_at")
+    return _naive(_drain(t, "stream_sessions", s.sessions(events(t))), "started_at", "closes_at")
 
 
 def _obs(t):
@@ -63,20 +70,20 @@ def _obs(t):
        where g is null or g <= interval 48 hour""",
 )
 def _(t):
-    return _naive(s.drain(s.change_events(_obs(t).drop("store_id"))), "created_at")
+    return _naive(_drain(t, "stream_change_events", s.change_events(_obs(t).drop("store_id"))), "created_at")
 
 
 @query("stream_gap_suppression", "select event_id, csc, store_id, qty, created_at from v_store_restocks")
 def _(t):
     obs = _obs(t).select("csc", "store_id", "seen_at", "seq", F.col("store_qty").alias("qty"))
-    return _naive(s.drain(s.store_restocks(obs)), "created_at")
+    return _naive(_drain(t, "stream_gap_suppression", s.store_restocks(obs)), "created_at")
 
 
 @query("stream_delivery_dedupe", "select distinct user_id, event_id from events")
 def _(t):
     pairs = events(t).select("user_id", "event_id", "ts")
     again = events(t).select("user_id", "event_id", "ts")
-    return s.drain(s.delivery_dedupe(pairs.unionByName(again))).select("user_id", "event_id")
+    return _drain(t, "stream_delivery_dedupe", s.delivery_dedupe(pairs.unionByName(again))).select("user_id", "event_id")
 
 
 @query(
@@ -87,7 +94,7 @@ def _(t):
 def _(t):
     e = events(t).withColumn("key", F.col("user_id"))
     o = events(t).withColumn("key", F.col("user_id"))
-    out = s.drain(s.standing_restocks(e.where("event_type = 'signup'"), o.where("event_type = 'error'")))
+    out = _drain(t, "stream_superseded_filter", s.standing_restocks(e.where("event_type = 'signup'"), o.where("event_type = 'error'")))
     return out.select("event_id", "key")
 
 
@@ -97,7 +104,7 @@ def _(t):
        having count(*) > 2 and window_start + interval 1 hour <= (select t from clock) - interval 2 hour""",
 )
 def _(t):
-    return _naive(s.drain(s.fixed_window_limits(events(t), limit=2)), "window_start")
+    return _naive(_drain(t, "stream_fixed_window_limits", s.fixed_window_limits(events(t), limit=2)), "window_start")
 
 
 @query(
@@ -106,7 +113,7 @@ def _(t):
        having count(*) >= 3 and until <= (select max(ts) from events where event_type = 'error') - interval 10 minute""",
 )
 def _(t):
-    return _naive(s.drain(s.circuit_breaker(events(t), failures=3)), "until")
+    return _naive(_drain(t, "stream_circuit_breaker", s.circuit_breaker(events(t), failures=3)), "until")
 
 
 @query(
@@ -117,7 +124,7 @@ def _(t):
        left join c on c.hour = g.hour and c.event_type = k.event_type""",
 )
 def _(t):
-    counts = s.drain(s.hourly_counts(events(t)))
+    counts = _drain(t, "stream_zero_buckets", s.hourly_counts(events(t)))
     return _naive(s.zero_filled(counts, ["view", "click", "purchase", "signup", "error"]), "hour")
 
 
@@ -137,4 +144,4 @@ def _(t):
         "event_id", "ts", "user_id", F.lpad(k.cast("string"), 6, "0").alias("csc"),
         F.get(F.array(*[F.lit(a) for a in AGENTS]), (u % 8).cast("int")).alias("agent"), token.alias("token"),
     )
-    return _naive(s.drain(s.enrich(views, t.products)), "ts")
+    return _naive(_drain(t, "stream_enrich", s.enrich(views, t.products)), "ts")

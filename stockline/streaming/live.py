@@ -6,7 +6,6 @@ of the available files. Watermarks bound every state store.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from datetime import timedelta
 
@@ -43,13 +42,13 @@ def read_events(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", k.alias("k"))
 
 
-def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what is available and returns its output table.
 
-    Output and progress lie in the shared folder, so a restart goes on from
-    the last batch."""
+    Output and progress lie under ``name`` in the shared folder, so a run after
+    a stop goes on from the last finished batch."""
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{name}"
     q = (
         stream.writeStream.outputMode(mode)
         .format("parquet")
@@ -63,12 +62,18 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
 
 
 def live_visitors(events: DataFrame, window: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Distinct visitors over sliding windows; an estimate, as the state of an
-    exact count would grow with the visitors."""
-    return (
+    """Distinct visitors over sliding windows, counted exactly: first each visitor's views
+    in a window, which may lie on many tasks, then the visitors of the window. The state
+    holds the visitors of the windows that are still open."""
+    each = (
         events.withWatermark("ts", late)
-        .groupBy(F.window("ts", window, slide).alias("w"))
-        .agg(F.approx_count_distinct("user_id", 0.01).alias("visitors"), F.count("*").alias("views"))
+        .groupBy(F.window("ts", window, slide).alias("w"), "user_id")
+        .agg(F.count("*").alias("views"))
+        .select(F.window_time("w").alias("closed"), "views")
+    )
+    return (
+        each.groupBy(F.window("closed", slide).alias("w"))
+        .agg(F.count("*").alias("visitors"), F.sum("views").alias("views"))
         .select(F.col("w.end").alias("until"), "visitors", "views")
     )
 
