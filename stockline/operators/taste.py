@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 from ..functions import skew, taste_rules as R
 from ..functions.textkeys import lookup
@@ -41,10 +41,6 @@ def _attr(value, evidence, source, quote=None, confidence=None, note=None) -> Co
     return F.struct(*[c(x).alias(n) for n, x in parts])
 
 
-def _valued(value: str):
-    return lambda t: t["value"] == value
-
-
 def _unknown() -> Column:
     return _attr(None, "none", None)
 
@@ -467,12 +463,17 @@ class Request:
     novelty: str | None = None
     area: str | None = None
 
-    @property
-    def wishes(self) -> bool:
-        return bool(self.sweet or self.body or self.tags or self.novelty)
 
+REQUESTS = (
+    "id string, type string, grape string, min_price double, max_price double, sweet string, body string, "
+    "tags array<string>, novelty string, area string"
+)
 
-MAX_REQUESTS = 500
+
+def request_table(spark: SparkSession, requests: Sequence[Request]) -> DataFrame:
+    """Requests as rows, as the scoring takes them."""
+    rows = [(r.id, r.type, r.grape, r.min_price, r.max_price, r.sweet, r.body, list(r.tags), r.novelty, r.area) for r in requests]
+    return spark.createDataFrame(rows, REQUESTS)
 
 
 def _weight(a: Column) -> Column:
@@ -481,68 +482,55 @@ def _weight(a: Column) -> Column:
     return F.coalesce(manual, F.try_element_at(table, F.concat_ws(" ", a["evidence"], a["confidence"])), F.lit(0.0))
 
 
-def _points(table: Mapping[str, float], value: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), value)
-
+def _points(table: Mapping[str, Mapping[str, float]], wish: Column, value: Column) -> Column:
+    flat = F.create_map(*[F.lit(x) for w, row in table.items() for v, p in row.items() for x in (f"{w} {v}", p)])
+    return F.when(wish.isNotNull(), F.try_element_at(flat, F.concat_ws(" ", wish, value)))
 
-def evidence_score(r: Request) -> tuple[Column, Column, Column, Column]:
-    """Points, contradiction, number of unknowns, and the contributions of one
-    request, as columns over a profile with ``less_common`` and ``rarity_tier``."""
-    parts: list[Column] = []
-    unknown: list[Column] = []
-    against: list[Column] = []
 
-    def solid(a: Column) -> Column:
-        return a["evidence"].isin("product", "manual")
+def evidence_score(r: Column) -> tuple[Column, Column, Column, Column]:
+    """Points, contradiction, number of unknowns, and the contributions of a request
+    ``r`` (a struct as in ``REQUESTS``) over a profile with ``less_common`` and ``rarity_tier``."""
 
-    def contribution(attribute: str, points: Column, reason: Column) -> Column:
-        return F.struct(F.lit(attribute).alias("attribute"), points.cast("double").alias("points"), reason.alias("reason"))
+    def contribution(attribute: Column, points: Column, reason: Column) -> Column:
+        return F.struct(attribute.alias("attribute"), points.cast("double").alias("points"), reason.alias("reason"))
 
-    for attr, wish, table, limit in (
-        ("sweetness", r.sweet, R.SWEET_POINTS, -3.0),
-        ("body", r.body, R.BODY_POINTS, -2.0),
-    ):
-        if wish is None:
-            continue
+    parts: list[Column] = []
+    unknowns, contradicted = F.lit(0), F.lit(False)
+    for attr, wish, table, limit in (("sweetness", "sweet", R.SWEET_POINTS, -3.0), ("body", "body", R.BODY_POINTS, -2.0)):
         a = F.col(attr)
-        raw = _points(table[wish], a["value"])
-        parts.append(F.when(raw.isNotNull(), contribution(attr, raw * _weight(a), describe(attr, a))))
-        unknown.append(a["value"].isNull().cast("int"))
-        against.append(F.coalesce((raw <= limit) & solid(a), F.lit(False)))
-    for tag in r.tags:
-        t = F.get(F.filter("tags", _valued(tag)), F.lit(0))
-        part = F.when(t.isNotNull(), contribution(f"tag:{tag}", 1.5 * _weight(t), describe(tag, t)))
-        if tag == "refreshing":
-            fizzy = F.col("fizz.value").isNotNull() & (F.col("fizz.value") != "still")
-            part = F.coalesce(part, F.when(fizzy, contribution("tag:refreshing", F.lit(0.5), F.concat(F.lit("It is "), F.col("fizz.value")))))
-        parts.append(part)
-    if r.novelty in ("style", "ask"):
-        parts.append(
-            F.when(F.col("less_common").isNotNull(), contribution("novelty", F.lit(1.5 if r.novelty == "ask" else 2.0), F.col("less_common")))
+        raw = _points(table, r[wish], a["value"])
+        parts.append(F.when(raw.isNotNull(), contribution(F.lit(attr), raw * _weight(a), describe(F.lit(attr), a))))
+        unknowns = unknowns + (r[wish].isNotNull() & a["value"].isNull()).cast("int")
+        contradicted = contradicted | F.coalesce((raw <= limit) & a["evidence"].isin("product", "manual"), F.lit(False))
+
+    def for_tag(tag: Column) -> Column:
+        t = F.get(F.filter("tags", lambda x: x["value"] == tag), F.lit(0))
+        name = F.concat(F.lit("tag:"), tag)
+        fizzy = (tag == "refreshing") & F.col("fizz.value").isNotNull() & (F.col("fizz.value") != "still")
+        return F.when(t.isNotNull(), contribution(name, 1.5 * _weight(t), describe(tag, t))).when(
+            fizzy, contribution(name, F.lit(0.5), F.concat(F.lit("It is "), F.col("fizz.value")))
         )
-    if r.novelty == "scarce":
-        parts.append(
-            F.when(
-                F.col("rarity_tier").isin("uncommon", "scarce"),
-                contribution("novelty", F.lit(2.0), F.concat(F.lit("Rated "), F.col("rarity_tier"))),
-            )
-        )
-    empty = F.array().cast("array<struct<attribute:string,points:double,reason:string>>")
-    contributions = F.array_compact(F.array(*parts)) if parts else empty
-    unknowns = reduce(lambda a, b: a + b, unknown, F.lit(0))
+
+    common = r["novelty"].isin("style", "ask") & F.col("less_common").isNotNull()
+    scarce = (r["novelty"] == "scarce") & F.col("rarity_tier").isin("uncommon", "scarce")
+    new = F.when(common, contribution(F.lit("novelty"), F.when(r["novelty"] == "ask", 1.5).otherwise(2.0), F.col("less_common"))).when(
+        scarce, contribution(F.lit("novelty"), F.lit(2.0), F.concat(F.lit("Rated "), F.col("rarity_tier")))
+    )
+    tags = F.transform(F.coalesce(r["tags"], F.array().cast("array<string>")), for_tag)
+    contributions = F.array_compact(F.concat(F.array(*parts), tags, F.array(new)))
     total = F.aggregate(contributions, F.lit(0.0), lambda s, x: s + x["points"]) - 0.5 * unknowns
-    contradicted = reduce(lambda a, b: a | b, against, F.lit(False))
     return total, contradicted, unknowns, contributions
 
 
-def describe(label: str, a: Column) -> Column:
+def describe(label: Column, a: Column) -> Column:
     """One sentence about an attribute, worded by its evidence."""
+    title = F.concat(F.upper(F.substring(label, 1, 1)), F.substr(label, F.lit(2)))
     return (
-        F.when(a["evidence"] == "manual", F.concat(F.lit(f"{label.capitalize()}: "), a["value"], F.lit(" (reviewed).")))
+        F.when(a["evidence"] == "manual", F.concat(title, F.lit(": "), a["value"], F.lit(" (reviewed).")))
         .when(a["evidence"] == "style", F.concat(F.lit("Style note: "), F.coalesce(a["note"], a["value"]), F.lit(" (general).")))
         .when(a["source"] == "listing_text", F.concat(F.lit("The listing describes it as "), a["value"], F.lit(": “"), a["quote"], F.lit("”")))
         .when(a["source"] == "name", F.concat(F.lit("Its name says "), a["value"], F.lit(".")))
-        .otherwise(F.concat(F.lit(f"{label.capitalize()}: "), a["value"], F.lit(".")))
+        .otherwise(F.concat(title, F.lit(": "), a["value"], F.lit(".")))
     )
 
 
@@ -578,53 +566,54 @@ def with_less_common(profiles: DataFrame, shares: DataFrame, limit: float = 0.04
     return profiles.withColumn("one_grape", one).join(rare, ["grp", "one_grape"], "left").drop("one_grape")
 
 
-def _requested(profiles: DataFrame, requests: Sequence[Request], key: str) -> DataFrame:
+def _requested(profiles: DataFrame, requests: DataFrame | Sequence[Request], key: str) -> DataFrame:
     """Items that pass a request's hard filters, one row per item and request.
 
-    The requests of a batch are a bounded list; each item carries those whose
-    filters it passes, so no item meets a request it cannot serve."""
-    if len(requests) > MAX_REQUESTS:
-        raise ValueError(f"{len(requests)} requests in a batch, at most {MAX_REQUESTS}")
-    parts = []
-    for r in requests:
-        ok = F.lit(True)
-        if r.type is not None:
-            ok = ok & (F.col("grp") == r.type)
-        if r.max_price is not None:
-            ok = ok & (F.col("price") <= r.max_price)
-        if r.min_price is not None:
-            ok = ok & (F.col("price") >= r.min_price)
-        if r.grape is not None:
-            ok = ok & F.coalesce(F.array_contains(F.transform("grapes.value", lambda x: F.lower(x)), r.grape.lower()), F.lit(False))
-        points, against, unknowns, contributions = evidence_score(r)
-        best = F.get(
-            F.array_sort(contributions, lambda a, b: F.when(a["points"] > b["points"], -1).when(a["points"] < b["points"], 1).otherwise(0)), F.lit(0)
-        )["reason"]
-        parts.append(
-            F.when(
-                F.coalesce(ok, F.lit(False)),
-                F.struct(
-                    F.lit(r.id).alias("request"),
-                    F.lit(r.wishes).alias("wishes"),
-                    F.lit(r.area).cast("string").alias("area"),
-                    F.round(points, 6).alias("points"),
-                    against.alias("contradicted"),
-                    unknowns.alias("unknowns"),
-                    F.size(contributions).alias("supports"),
-                    best.alias("reason"),
-                ),
-            )
-        )
-    usable = profiles.where("not excluded").where(F.col("price").isNotNull())
-    asked = usable.withColumn("__r", F.explode(F.array_compact(F.array(*parts))))
-    return asked.select(key, "price", "near_area", "near_stores", "checked_recently", evidence_count().alias("evidence_count"), "__r.*")
+    Requests meet the items of their type by an equi-join; one without a type is
+    spread over the few groups first. Their number is not bounded."""
+    if not isinstance(requests, DataFrame):
+        requests = request_table(profiles.sparkSession, requests)
+    usable = profiles.where("not excluded").where(F.col("price").isNotNull()).withColumn("__grp", F.coalesce("grp", F.lit("")))
+    groups = usable.agg(F.collect_set("__grp")).scalar()
+    asked = requests.select(F.struct(*requests.columns).alias("__q"))
+    asked = asked.withColumn("__grp", F.explode(F.when(F.col("__q.type").isNull(), groups).otherwise(F.array(F.col("__q.type")))))
+    q, price = F.col("__q"), F.col("price")
+    grapes = F.coalesce(F.array_contains(F.transform("grapes.value", lambda x: F.lower(x)), F.lower(q["grape"])), F.lit(False))
+    fits = (
+        (q["max_price"].isNull() | (price <= q["max_price"]))
+        & (q["min_price"].isNull() | (price >= q["min_price"]))
+        & (q["grape"].isNull() | grapes)
+    )
+    points, against, unknowns, contributions = evidence_score(q)
+    met = usable.join(asked, "__grp").where(fits)
+    met = met.withColumns({"__points": points, "__against": against, "__unknowns": unknowns, "__parts": contributions})
+    best = F.get(
+        F.array_sort("__parts", lambda a, b: F.when(a["points"] > b["points"], -1).when(a["points"] < b["points"], 1).otherwise(0)), F.lit(0)
+    )["reason"]
+    wishes = q["sweet"].isNotNull() | q["body"].isNotNull() | (F.coalesce(F.size(q["tags"]), F.lit(0)) > 0) | q["novelty"].isNotNull()
+    return met.select(
+        key,
+        "price",
+        "near_area",
+        "near_stores",
+        "checked_recently",
+        evidence_count().alias("evidence_count"),
+        q["id"].alias("request"),
+        wishes.alias("wishes"),
+        q["area"].alias("area"),
+        F.round("__points", 6).alias("points"),
+        F.col("__against").alias("contradicted"),
+        F.col("__unknowns").alias("unknowns"),
+        F.size("__parts").alias("supports"),
+        best.alias("reason"),
+    )
 
 
 def _near() -> Column:
     return F.coalesce((F.col("near_area") == F.col("area")) & (F.col("near_stores") > 0), F.lit(False))
 
 
-def recommend(profiles: DataFrame, requests: Sequence[Request], key: str = "key", most: int = 6) -> DataFrame:
+def recommend(profiles: DataFrame, requests: DataFrame | Sequence[Request], key: str = "key", most: int = 6) -> DataFrame:
     """The best supported items of each request.
 
     ``profiles`` carry grp, price, near_area, near_stores, checked_recently,
@@ -643,7 +632,7 @@ def recommend(profiles: DataFrame, requests: Sequence[Request], key: str = "key"
     )
 
 
-def eligibility_counts(profiles: DataFrame, requests: Sequence[Request], key: str = "key") -> DataFrame:
+def eligibility_counts(profiles: DataFrame, requests: DataFrame | Sequence[Request], key: str = "key") -> DataFrame:
     """Per request: eligible, not near, unknown near, and without information."""
     rows = _requested(profiles, requests, key)
     asked = F.col("area").isNotNull()
