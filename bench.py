@@ -28,6 +28,9 @@ HEADLINES = [
     "source_engagement",
     "top_breakdowns",
     "drawing_odds",
+    # The rating of all codes and the profiles of all listings, with their writing.
+    "classify_rarity",
+    "recommend",
 ]
 
 
