@@ -148,6 +148,23 @@ def nearby_stock(near: DataFrame, store_now: DataFrame, catalog: DataFrame, as_o
     )
 
 
+def nearby_asked(asked: DataFrame, near: DataFrame, store_now: DataFrame, catalog: DataFrame, as_of: datetime, hours: int = FRESH_HOURS) -> DataFrame:
+    """The near stock of each asked pair (area, csc) whose product was checked
+    lately. None near is a zero with the time of the check; a pair whose product
+    was not checked is unknown and absent."""
+    asked = asked.select("area", "csc").distinct()
+    local = nearby_stock(near, store_now, catalog, as_of, hours).select("area", "csc", "stores", "units")
+    checked = store_now.where(F.col("seen_at") > times.ago(as_of, f"{hours} hours")).groupBy("csc").agg(F.min("seen_at").alias("checked_at"))
+    wide = catalog.select("csc", F.col("store_qty").alias("statewide_qty"), F.col("last_seen").alias("statewide_at"))
+    return (
+        asked.join(checked, "csc")
+        .join(wide, "csc")
+        .join(local, ["area", "csc"], "left")
+        .fillna(0, ["stores", "units"])
+        .select("area", "csc", "stores", "units", "checked_at", "statewide_qty", "statewide_at")
+    )
+
+
 def freshness_claims(store_now: DataFrame, catalog: DataFrame, as_of: datetime) -> DataFrame:
     """The three claims for every store count."""
     wide = catalog.select("csc", F.col("store_qty").alias("w_qty"), F.col("last_seen").alias("w_at"))

@@ -55,6 +55,17 @@ def _(t):
     return nearby(t)
 
 
+@query(
+    "nearby_asked",
+    """with asked as (select distinct s.city as area, w.csc from v_watch w join v_stores s on s.id = w.user_id % 25),
+       checked as (select csc, min(seen_at) as checked_at from v_store_now where seen_at > (select t from clock) - interval 168 hour group by 1)
+       select a.area, a.csc, coalesce(n.stores, 0) as stores, coalesce(n.units, 0) as units, k.checked_at, c.store_qty as statewide_qty, c.last_seen as statewide_at
+       from asked a join checked k using (csc) join v_catalog c using (csc) left join o_nearby n on n.area = a.area and n.csc = a.csc""",
+)
+def _(t):
+    return geo.nearby_asked(homes(t).join(t.watch.select("user_id", "csc"), "user_id"), near(t), t.store_now, t.catalog, t.as_of)
+
+
 define(
     "o_held",
     """select s.csc, s.store_id, s.qty, st.lat, st.lng, st.is_club from v_store_now s join v_catalog c using (csc) join v_stores st on st.id = s.store_id
