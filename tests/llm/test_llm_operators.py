@@ -125,6 +125,18 @@ def test_lines_are_removed_and_others_stay(spark, edges, nothing):
     assert line_dedup.drop_repeated_lines(nothing).count() == 0
 
 
+def test_short_and_blank_free_near_copies_are_found(spark):
+    rng = np.random.default_rng(3)
+    word = lambda letters, n: "".join(rng.choice(list(letters), n))
+    lines = [" ".join(word("abcdefghijklmnop", rng.integers(4, 14)) for _ in range(1 + k % 15)) for k in range(150)]
+    lines += [word("的一是不了人我在有他这中大来上国日本語のにはをたが", rng.integers(20, 60)) for _ in range(50)] + ["aaaaaa", "aaaaaaa", "abcd", "abce"]
+    near = [x[:j] + "Z" + x[j + 1 :] for x in lines for j in (0, len(x) // 2, len(x) - 1)]
+    source = list(enumerate(lines + near))
+    want = plain.kept_lines(source)
+    got = rows(line_dedup.judged_lines(table(spark, source)), "doc_id", "kept_doc_id")
+    assert sorted(got) == sorted((source[i][0], d) for (i, _), (d, _) in want.items())
+
+
 def test_members_that_miss_the_leader_are_linked(spark):
     # Each line differs from the next by one word; the first and the last are far apart.
     words = [f"{a}{b}lane" for a in "kmprstvw" for b in "aeiou"]
