@@ -137,6 +137,31 @@ def test_short_and_blank_free_near_copies_are_found(spark):
     assert sorted(got) == sorted((source[i][0], d) for (i, _), (d, _) in want.items())
 
 
+def test_pairs_with_one_shared_band_are_checked(spark):
+    # Lines with one word of 30 changed, near each other, and a frequent one far from them.
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+    base = [word() for _ in range(30)]
+    near = [" ".join(base[:j] + [word()] + base[j + 1 :]) for j in range(30) for _ in range(4)]
+    far = [" ".join(word() if j in gone else w for j, w in enumerate(base)) for gone in (set(rng.permutation(30)[:7].tolist()) for _ in range(400))]
+    keys = line_dedup._with_bands(spark.createDataFrame(list(enumerate(near + far)), "doc_id long, line string"))
+    bands = {i: set(b) for i, b in rows(keys, "doc_id", "bands")}
+    n, first = len(near), {}
+    for f in range(n, n + len(far)):
+        for b in bands[f]:
+            first.setdefault(b, f)
+    apart = lambda x, y: not plain.kept_lines([(0, x), (1, y)])[1, 0] == (0, 0)
+    found = [(x, y, first[b]) for x in range(n) for y in range(x) if len(both := bands[x] & bands[y]) == 1 for b in both if b in first]
+    groups = [[near[x], near[y], far[f - n]] for x, y, f in found]
+    groups = [g for g in groups if not apart(g[0], g[1]) and apart(g[0], g[2]) and apart(g[1], g[2])][:3]
+    assert groups
+    for g in groups:
+        source = list(enumerate([*g, g[2], g[2]]))
+        want = plain.kept_lines(source)
+        got = rows(line_dedup.judged_lines(table(spark, source)), "doc_id", "kept_doc_id")
+        assert sorted(got) == sorted((i, d) for (i, _), (d, _) in want.items()) == [(0, 0), (1, 0), (2, 2), (3, 2), (4, 2)]
+
+
 def test_members_that_miss_the_leader_are_linked(spark):
     # Each line differs from the next by one word; the first and the last are far apart.
     words = [f"{a}{b}lane" for a in "kmprstvw" for b in "aeiou"]
