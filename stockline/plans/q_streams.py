@@ -24,6 +24,11 @@ def _drain(t, name, stream):
     return s.drain(stream, f"{name}-{md5(t.folder.encode()).hexdigest()}")
 
 
+def _drain_closed(t, name, rule):
+    """As ``_drain``, over the whole table: its end releases what ``rule`` holds."""
+    return s.drain_closed(events(t), f"{name}-{md5(t.folder.encode()).hexdigest()}", rule)
+
+
 def _naive(df, *cols):
     for c in cols:
         df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
@@ -53,8 +58,8 @@ def _(t):
     return _naive(_drain(t, "stream_sessions", s.sessions(events(t))), "started_at", "closes_at")
 
 
-def _obs(t):
-    return events(t).select(
+def _obs(e):
+    return e.select(
         F.lpad(F.col("user_id").cast("string"), 6, "0").alias("csc"),
         F.col("ts").alias("seen_at"),
         F.col("event_id").alias("seq"),
@@ -70,13 +75,15 @@ def _obs(t):
        where g is null or g <= interval 48 hour""",
 )
 def _(t):
-    return _naive(_drain(t, "stream_change_events", s.change_events(_obs(t).drop("store_id"))), "created_at")
+    return _naive(_drain_closed(t, "stream_change_events", lambda e: s.change_events(_obs(e).drop("store_id"))), "created_at")
 
 
 @query("stream_gap_suppression", "select event_id, csc, store_id, qty, created_at from v_store_restocks")
 def _(t):
-    obs = _obs(t).select("csc", "store_id", "seen_at", "seq", F.col("store_qty").alias("qty"))
-    return _naive(_drain(t, "stream_gap_suppression", s.store_restocks(obs)), "created_at")
+    def rule(e):
+        return s.store_restocks(_obs(e).select("csc", "store_id", "seen_at", "seq", F.col("store_qty").alias("qty")))
+
+    return _naive(_drain_closed(t, "stream_gap_suppression", rule), "created_at")
 
 
 @query("stream_delivery_dedupe", "select distinct user_id, event_id from events")
