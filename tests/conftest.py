@@ -1,6 +1,5 @@
 import logging
 import sys
-from datetime import datetime, timedelta
 from pathlib import Path
 
 import pytest
@@ -9,12 +8,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from stockline import session  # noqa: E402
 
-NOW = datetime(2024, 3, 1, 12, 0)
-
-
-def ago(hours: float) -> datetime:
-    return NOW - timedelta(hours=hours)
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -23,7 +16,3 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
-
-
-def rows(df, *cols):
-    return sorted((tuple(r) for r in (df.select(*cols) if cols else df).collect()), key=repr)

@@ -3,7 +3,7 @@
 import math
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from stockline.operators import geo, ingest, places, web

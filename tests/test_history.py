@@ -2,7 +2,7 @@ from datetime import timedelta
 
 from stockline.operators import alerts, history, ingest
 
-from conftest import NOW, ago, rows
+from helpers import NOW, ago, rows
 
 
 def _runs(spark, start, end, step_hours=8, skip=None):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from stockline.operators import geo, sales
 
-from conftest import NOW, ago, rows
+from helpers import NOW, ago, rows
 
 AREAS = "area string, lat double, lng double"
 STORES = "id int, city string, lat double, lng double, is_club boolean"

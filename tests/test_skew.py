@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from stockline.functions import skew
 
-from conftest import rows
+from helpers import rows
 
 
 def _events(spark, n=600):

@@ -6,7 +6,7 @@ from stockline.sources import files, html
 
 import pytest
 
-from conftest import rows
+from helpers import rows
 
 
 def _one(spark, text, f):
