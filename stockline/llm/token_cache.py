@@ -4,7 +4,8 @@ Neither tokenizer joins anything across the step from a word to the blank or lin
 after it, nor a letter to a single full stop or comma at a word's end. So a text is the
 sequence of its pieces between those steps, and the ids of a piece are looked up: the
 tokenizer itself sees each distinct piece once. Texts with other white space, white space in
-runs or special tokens go to the tokenizer whole. The table of pieces is bounded; when full,
+runs, special tokens or letters that normalising ends in something else than a letter go to the
+tokenizer whole. The table of pieces is bounded; when full,
 the half used least goes.
 """
 
@@ -14,7 +15,7 @@ import os
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
-from unicodedata import is_normalized
+from unicodedata import category, is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,16 @@ _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in set
 _LAST = r"(\pL)([.,])([ \n]|\z)"
 
 
+def _unfit_letters(normalizer) -> str:
+    """The letters that the tokenizer's own normalising turns into a letter and a mark, or the
+    like: a stop after them does not stand after a letter."""
+    if normalizer is None:
+        return ""
+    letters = [c for c in map(chr, range(128, 0x110000)) if category(c)[0] == "L"]
+    after = normalizer.normalize_str("a".join(f"{c} " for c in letters)).split(" a")
+    return "".join(c for c, now in zip(letters, after, strict=True) if not now.strip() or category(now.strip()[-1])[0] != "L")
+
+
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -51,6 +62,9 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.words, self.most, self.most_chars = words, most, most_chars
+        self.vocabulary = 1 + max(self.whole.get_vocab(with_added_tokens=True).values(), default=0)
+        unfit = _unfit_letters(self.whole.normalizer)
+        self.odd = (_ODD if words else _ODD + _RUN) + (f"|[{unfit}]" if unfit else "")
         self._set([], [], np.zeros(0, np.int64))
 
     def _set(self, pieces: list[str], ids: list[np.ndarray], uses: np.ndarray) -> None:
@@ -129,7 +143,7 @@ class Encoder:
     def encode(self, texts: pa.Array, most: int = 16_000_000) -> Iterator[tuple[int, np.ndarray]]:
         """Yields (number of the text, its ids), in order; a null is empty."""
         texts = pc.fill_null(texts, "")
-        odd = pc.match_substring_regex(texts, _ODD if self.words else _ODD + _RUN).to_numpy(zero_copy_only=False)
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
         first = 0
         while first < len(texts):

@@ -10,9 +10,10 @@ The file has blocks, then a footer, then a trailer of fixed size:
 * the trailer: numbers of documents, ids, blocks, footer offset (uint64), width, magic (uint32).
 
 Documents are sorted by id (nulls first, repeated ids in the input's order) over all files
-in turn. A task writes one file under a name of its own and then moves it to the partition's
-name, so a task that runs again leaves the same file. The folder may be any that pyarrow
-opens (local or shared file systems, HDFS, S3, GCS).
+in turn. A task writes one file under a name of its own and returns that name, so a task that
+runs again leaves another file and only the one of the attempt that counted is named; nothing
+is moved. The folder may be any that pyarrow opens (local or shared file systems, HDFS, S3, GCS).
+An id that the width cannot hold is an error.
 
 A null text is empty and has its end id alone. An empty table writes no documents. Memory is
 bounded by an Arrow batch when writing and by ``READ_IDS`` ids or one document when reading.
@@ -47,6 +48,8 @@ def width_of(vocabulary: int) -> int:
 
 def pack_bits(ids: np.ndarray, width: int) -> bytes:
     """64 ids fill ``width`` words exactly; each of the 64 places is shifted in for all words at once."""
+    if len(ids) and int(ids.max()) >> width:
+        raise ValueError(f"id {ids.max()} does not fit in {width} bits")
     rows = -(-len(ids) // 64)
     table = np.zeros((rows, 64), np.uint64)
     table.reshape(-1)[: len(ids)] = ids
@@ -148,26 +151,26 @@ class TokenFile:
             i = j
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int) -> DataFrame:
-    """Writes the ids of ``docs`` (doc_id, text). Returns a row per file: part, path, n_docs,
-    n_ids; parts are in the order of the document ids."""
+def write_tokens(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """Writes the ids of ``docs`` (doc_id, text), as wide as the tokenizer's vocabulary and
+    ``end_id`` need. Returns a row per file: part, path, n_docs, n_ids; parts are in the order
+    of the document ids."""
     folder = fresh_folder(docs.sparkSession, "tokens")
-    width = width_of(vocabulary)
+    width = width_of(max(encoder(tokenizer).vocabulary, end_id + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = encoder(tokenizer), TaskContext.get().partitionId()
         where, path = _open(folder)
         where.create_dir(path, recursive=True)
-        name, own = f"{path}/{part:08d}.tok", f"{path}/.{part:08d}-{uuid.uuid4().hex}"
-        with where.open_output_stream(own, compression=None) as stream:
+        name = f"{part:08d}-{uuid.uuid4().hex}.tok"
+        with where.open_output_stream(f"{path}/{name}", compression=None) as stream:
             out = Writer(stream, width)
             for batch in batches:
                 doc_ids = batch.column(0).to_pylist()
                 for i, ids in coder.encode(batch.column(1)):
                     out.add(doc_ids[i], np.append(ids, np.uint32(end_id)))
             out.close()
-        where.move(own, name)
-        yield pa.record_batch([pa.array([x]) for x in (part, f"{folder}/{part:08d}.tok", len(out.docs), out.ids)], names=["part", "path", "n_docs", "n_ids"])
+        yield pa.record_batch([pa.array([x]) for x in (part, f"{folder}/{name}", len(out.docs), out.ids)], names=["part", "path", "n_docs", "n_ids"])
 
     # The place in the input splits a repeated id over several files.
     placed = docs.select(docs["doc_id"].cast("long"), "text", F.monotonically_increasing_id().alias("place"))
@@ -177,6 +180,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, vocabulary: int)
 
 def read_tokens(files: DataFrame) -> DataFrame:
     """The files' documents: doc_id, start (ids before it in all files), n_tokens, ids_crc32."""
+    tasks = files.agg(F.max("part")).first()[0]
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     placed = files.filter("n_docs > 0").select("part", "path", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
 
@@ -193,4 +197,5 @@ def read_tokens(files: DataFrame) -> DataFrame:
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    return placed.repartition("part").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # A task for each file: the rows are paths, too few for Spark to see the work behind them.
+    return placed.repartitionById((tasks or 0) + 1, F.col("part").cast("int")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
