@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import checkpointed, prepare, shared_folder
 
-__all__ = ["SPACES", "checkpointed", "fresh_folder", "keep_where", "prepare", "table", "written"]
+__all__ = ["SPACES", "checkpointed", "fresh_folder", "keep_where", "numbered", "prepare", "table", "written"]
 
 # The white space that parts words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -41,3 +43,21 @@ def keep_where(df: DataFrame, condition: Column) -> DataFrame:
 def ascii_lower(c: Column) -> Column:
     """A-Z to a-z and nothing else."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], what: str) -> DataFrame:
+    """``df`` written in order, with ``idx``: a row's place within its group, from 0, gapless.
+
+    Rows are dealt by ranges of (group, order, place in the input), so that neither a hot group
+    nor rows that are equal throughout land in one task; the groups' rows are then counted a
+    partition, and the counts, not the rows, are summed up in order."""
+    by = [*group, *order, "__tie"]
+    rows = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    rows = written(rows.drop("__tie").withColumn("__row", F.monotonically_increasing_id()).withColumn("__part", F.shiftright("__row", 33)), what)
+    counts = rows.groupBy(*group, "__part").agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("__at", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    starts = starts.select("__part", "__first", "__at", *[F.col(c).alias(f"__{c}") for c in group])
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in group]
+    placed = rows.alias("r").join(starts.withColumnRenamed("__part", "__p"), reduce(and_, same, F.col("__part") == F.col("__p")))
+    return placed.select("r.*", (F.col("__at") + F.col("__row") - F.col("__first")).alias("idx")).drop("__row", "__part")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, ngram_join, packing, quality_model, quality_rules, secret_scan, sharding, token_counts, token_files
+from . import bit_codes, centroids, decontam, line_dedup, merkle, ngram_join, packing, quality_model, quality_rules, secret_scan, sharding, token_counts, token_files
 from .common import table
 from .token_cache import tokenizer_path
 
@@ -53,7 +53,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_digest(table(spark, sf_dir, "embeddings"))
+
+
+def op12_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bit_codes.nearest_by_ids(table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_ngram_join, op4_secret_scan, op5_decontamination, op6_quality_rules, op7_packing, op8_quality_model, op9_token_files, op10_token_counts)
+    f.__name__: f
+    for f in (
+        op1_line_dedup, op2_sharding, op3_ngram_join, op4_secret_scan, op5_decontamination, op6_quality_rules, op7_packing, op8_quality_model,
+        op9_token_files, op10_token_counts, op11_centroid_clusters, op12_nearest_vectors, op13_merkle_manifest,
+    )
+}
+ORACLES: dict[str, str] = {
+    "op6_quality_rules": quality_rules.ORACLE,
+    "op11_centroid_clusters": centroids.ORACLE,
+    "op13_merkle_manifest": merkle.ORACLE,
 }
-ORACLES: dict[str, str] = {"op6_quality_rules": quality_rules.ORACLE}
