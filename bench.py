@@ -20,6 +20,8 @@ HEADLINES = [
     "transitions",
     "sales_trailing12",
     "price_percentile",
+    # The index written anew and brought up to date, then searched.
+    "index_refresh",
     "search_ranked",
     "local_answer",
     "digest_match",

@@ -22,7 +22,9 @@ ALIASES = {
 
 
 def lookup(table: dict[str, str], key: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key)
+    # One literal, folded to a map once: a map of columns would be a plan of its own.
+    pairs = F.lit("\x01".join(f"{a}\x02{b}" for a, b in table.items()))
+    return F.try_element_at(F.str_to_map(pairs, F.lit("\x01"), F.lit("\x02")), key)
 
 
 def search_key(text: str | Column) -> Column:
@@ -47,13 +49,18 @@ def search_name(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(s, "[^a-z0-9]+", " "))
 
 
-def query_tokens(text: str | Column, most: int = 8) -> Column:
-    """array<struct<raw, alts>>: up to ``most`` distinct tokens. A possessive also
-    matches its stem; "old" right after "yr" is dropped."""
-    words = F.filter(F.split(search_key(text), " "), lambda w: w != "")
-    stems = F.transform(
-        F.regexp_extract_all(F.lower(F.coalesce(col(text), F.lit(""))), F.lit(r"([a-z0-9]+)['’]s\b"), F.lit(1)), search_key
-    )
+def query_words(key: Column) -> Column:
+    """The words of a search key."""
+    return F.filter(F.split(key, " "), lambda w: w != "")
+
+
+def possessive_stems(text: str | Column) -> Column:
+    """Search keys of the words that stand before an 's."""
+    return F.transform(F.regexp_extract_all(F.lower(F.coalesce(col(text), F.lit(""))), F.lit(r"([a-z0-9]+)['’]s\b"), F.lit(1)), search_key)
+
+
+def tokens_from(words: Column, stems: Column, most: int = 8) -> Column:
+    """array<struct<raw, alts>> of a query's words; see ``query_tokens``."""
     before = F.concat(F.array(F.lit("")), words)
     kept = F.filter(words, lambda w, i: ~((w == "old") & (F.get(before, i) == "yr")))
 
@@ -62,9 +69,13 @@ def query_tokens(text: str | Column, most: int = 8) -> Column:
         possessive = w.endswith("s") & F.array_contains(stems, stem)
         return F.when(possessive, F.array(w, stem)).otherwise(F.array(w))
 
-    return F.transform(
-        F.slice(F.array_distinct(kept), 1, most), lambda w: F.struct(w.alias("raw"), alternatives(w).alias("alts"))
-    )
+    return F.transform(F.slice(F.array_distinct(kept), 1, most), lambda w: F.struct(w.alias("raw"), alternatives(w).alias("alts")))
+
+
+def query_tokens(text: str | Column, most: int = 8) -> Column:
+    """array<struct<raw, alts>>: up to ``most`` distinct tokens. A possessive also
+    matches its stem; "old" right after "yr" is dropped."""
+    return tokens_from(query_words(search_key(text)), possessive_stems(text), most)
 
 
 def display_name(name: str | Column) -> Column:

@@ -12,8 +12,9 @@ from ..functions import textkeys as k
 from ..functions import times
 from ..session import checkpointed
 from . import geo
+from .search_index import SearchIndex, match, tokens_of
 
-_GRAM = 3
+__all__ = ["SearchIndex", "tokens_of"]
 
 
 def keyed(items: DataFrame, name: str = "name") -> DataFrame:
@@ -21,72 +22,11 @@ def keyed(items: DataFrame, name: str = "name") -> DataFrame:
     return items.withColumn("search_key", k.search_key(name)).withColumn("search_name", k.search_name(name))
 
 
-def tokens_of(queries: DataFrame, q: str = "q") -> DataFrame:
-    """One row per query token: (q, tok, n_tokens, raw, alts, phrase)."""
-    t = queries.select(q, k.query_tokens(q).alias("tokens"))
-    phrase = F.array_join(F.transform("tokens", lambda x: F.element_at(x["alts"], -1)), " ")
-    return t.select(q, F.size("tokens").alias("n_tokens"), phrase.alias("phrase"), F.posexplode("tokens").alias("tok", "t")).select(
-        q, "tok", "n_tokens", "phrase", F.col("t.raw").alias("raw"), F.col("t.alts").alias("alts")
-    )
-
-
-def _grams(text: Column, n: int) -> Column:
-    """Distinct n-grams of a text; empty when the text is shorter."""
-    last = F.length(text) - n + 1
-    return F.when(
-        last >= 1,
-        F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))),
-    ).otherwise(F.array().cast("array<string>"))
-
-
-def _candidates(items: DataFrame, tokens: DataFrame, key: str, q: str) -> DataFrame:
-    """(query token, item) pairs where the item contains an alternative.
-
-    Substrings are found by an equi-join on short grams, not by trying every
-    query on every item: each alternative asks for its first three characters,
-    items offer their distinct grams, and only grams somebody asked for are kept.
-    """
-    asked = tokens.select(
-        q, "tok", "n_tokens", "phrase", "raw", F.explode("alts").alias("alt"), F.lit(False).alias("in_category")
-    ).unionByName(
-        tokens.select(q, "tok", "n_tokens", "phrase", "raw", F.col("raw").alias("alt"), F.lit(True).alias("in_category"))
-    ).withColumn("gram", F.substring("alt", 1, _GRAM))
-    wanted = asked.select("gram", "in_category").distinct()
-
-    def offered(text: Column, in_category: bool) -> DataFrame:
-        grams = F.concat(*[_grams(text, n) for n in range(1, _GRAM + 1)])
-        return items.select(key, text.alias("text"), F.explode(grams).alias("gram"), F.lit(in_category).alias("in_category"))
-
-    offers = offered(F.col("search_key"), False).unionByName(
-        offered(F.lower(F.coalesce("category", F.lit(""))), True)
-    ).join(wanted, ["gram", "in_category"], "left_semi")
-    return asked.join(offers, ["gram", "in_category"]).where(F.contains("text", F.col("alt")))
-
-
-def token_match(items: DataFrame, queries: DataFrame, key: str = "csc", q: str = "q") -> DataFrame:
+def token_match(items: DataFrame, queries: DataFrame, key: str = "csc", q: str = "q", index: SearchIndex | None = None) -> DataFrame:
     """Items holding every token of a query, with the match tier: 0 whole words,
-    1 word starts, 2 substrings."""
-    hits = _candidates(items, tokens_of(queries, q), key, q)
-    word = F.regexp_replace("alt", r"\.", r"\\.")
-    starts = F.regexp_like("text", F.concat(F.lit(r"\b"), word))
-    whole = F.regexp_like("text", F.concat(F.lit(r"\b"), word, F.lit(r"\b")))
-    per_token = hits.groupBy(q, key, "tok").agg(
-        F.max("n_tokens").alias("n_tokens"),
-        F.max("phrase").alias("phrase"),
-        F.max(whole.cast("int")).alias("whole"),
-        F.max(starts.cast("int")).alias("starts"),
-    )
-    return (
-        per_token.groupBy(q, key)
-        .agg(
-            F.count("*").alias("matched"),
-            F.max("n_tokens").alias("n_tokens"),
-            F.max("phrase").alias("phrase"),
-            F.when(F.min("whole") == 1, 0).when(F.min("starts") == 1, 1).otherwise(2).alias("tier"),
-        )
-        .where("matched = n_tokens")
-        .select(q, key, "tier", "phrase")
-    )
+    1 word starts, 2 substrings. ``index``: a standing index of ``items``; without it one is
+    built for this call."""
+    return match(index or SearchIndex.build(items, key), queries, key, q)
 
 
 def search_ranked(
@@ -97,15 +37,20 @@ def search_ranked(
     sort: str | None = None,
     page: int = 1,
     page_size: int = 50,
+    index: SearchIndex | None = None,
 ) -> DataFrame:
     """One page of ranked results per query, with the total number of matches.
 
-    ``near``: keys with fresh stock near the visitor, when an area is chosen.
+    ``near``: keys with fresh stock near the visitor, when an area is chosen. ``index``: a
+    standing index of ``catalog``.
     The matches are read twice, to rank and to count them, so they are written
     once; ranking cuts each query to its page before the shuffle.
     """
     items = catalog if filters is None else catalog.where(filters)
-    matched = checkpointed(token_match(items, queries))
+    matched = token_match(catalog, queries, index=index)
+    if filters is not None:
+        matched = matched.join(items.select("csc"), "csc", "left_semi")
+    matched = checkpointed(matched)
     hits = matched.join(items, "csc")
     totals = matched.groupBy("q").agg(F.count("*").alias("total"))
     if near is not None:

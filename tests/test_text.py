@@ -1,3 +1,5 @@
+import re
+
 from pyspark.sql import functions as F
 
 from stockline.functions import clients, textkeys as k
@@ -140,6 +142,35 @@ def test_token_match_against_brute_force(spark):
     assert got == [("olt", "2", 2), ("olt", "3", 2), ("ring", "1", 0), ("ring", "2", 1), ("sma rin", "1", 1), ("small", "1", 0), ("small", "3", 0)]
 
 
+def test_index_follows_the_items_and_holds_what_a_scan_holds(spark, tmp_path):
+    words = ["ab", "abc", "bcd", "a", "bc.5", "cab", "x", "abcabc", "dd"]
+    items = [(str(i), " ".join(words[j % 9] for j in range(i % 7, i % 7 + i % 4)) or None, words[i % 3] if i % 5 else None) for i in range(60)]
+    schema = "csc string, name string, category string"
+    old, new = items[:40], [(c, n if int(c) % 4 else "DD NEW", g) for c, n, g in items[10:]]
+    q = [(x,) for x in ["a", "ab", "b", "ab a", "abc bcd", "dd new", "c", "bc.5", "zz", "", "x's", "5", "cab dd x"]]
+    queries = spark.createDataFrame(q, "q string")
+    index = search.SearchIndex.build(search.keyed(spark.createDataFrame(old, schema)), folder=str(tmp_path / "index"))
+    grown = index.refresh(search.keyed(spark.createDataFrame(new, schema)))
+    assert grown.texts.count() == len({*rows(index.texts, "tid"), *rows(grown.texts, "tid")}) > index.texts.count()
+    for at, data in ((index, old), (grown, new)):
+        frame = search.keyed(spark.createDataFrame(data, schema))
+        want = []
+        tokens = {}
+        for r in search.tokens_of(queries).collect():
+            tokens.setdefault(r.q, []).append((r.raw, r.alts))
+        for c, key, group in frame.select("csc", "search_key", F.lower(F.coalesce("category", F.lit("")))).collect():
+            for text, parts in tokens.items():
+                levels = []
+                for raw, alts in parts:
+                    found = [(key, a) for a in alts if a in key] + [(group, raw)] * (raw in group)
+                    whole = [0 if re.search(rf"\b{re.escape(a)}\b", t) else 1 if re.search(rf"\b{re.escape(a)}", t) else 2 for t, a in found]
+                    levels.append(min(whole, default=None))
+                if None not in levels:
+                    want.append((text, c, max(levels)))
+        got = rows(search.token_match(frame, queries, index=at), "q", "csc", "tier")
+        assert got == sorted(want, key=repr) and len(want) > 60
+
+
 def _profile(spark, name, category, text):
     from stockline import session
 
