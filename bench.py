@@ -30,8 +30,9 @@ HEADLINES = [
     "source_engagement",
     "top_breakdowns",
     "drawing_odds",
-    # The rating of all codes and the profiles of all listings, with their writing.
+    # The rating of all codes with its writing; the profiles' writing; their index and the lists.
     "classify_rarity",
+    "attribute_extract",
     "recommend",
 ]
 

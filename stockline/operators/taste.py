@@ -566,85 +566,6 @@ def with_less_common(profiles: DataFrame, shares: DataFrame, limit: float = 0.04
     return profiles.withColumn("one_grape", one).join(rare, ["grp", "one_grape"], "left").drop("one_grape")
 
 
-def _requested(profiles: DataFrame, requests: DataFrame | Sequence[Request], key: str) -> DataFrame:
-    """Items that pass a request's hard filters, one row per item and request.
-
-    Requests meet the items of their type by an equi-join; one without a type is
-    spread over the few groups first. Their number is not bounded."""
-    if not isinstance(requests, DataFrame):
-        requests = request_table(profiles.sparkSession, requests)
-    usable = profiles.where("not excluded").where(F.col("price").isNotNull()).withColumn("__grp", F.coalesce("grp", F.lit("")))
-    groups = usable.agg(F.collect_set("__grp")).scalar()
-    asked = requests.select(F.struct(*requests.columns).alias("__q"))
-    asked = asked.withColumn("__grp", F.explode(F.when(F.col("__q.type").isNull(), groups).otherwise(F.array(F.col("__q.type")))))
-    q, price = F.col("__q"), F.col("price")
-    grapes = F.coalesce(F.array_contains(F.transform("grapes.value", lambda x: F.lower(x)), F.lower(q["grape"])), F.lit(False))
-    fits = (
-        (q["max_price"].isNull() | (price <= q["max_price"]))
-        & (q["min_price"].isNull() | (price >= q["min_price"]))
-        & (q["grape"].isNull() | grapes)
-    )
-    points, against, unknowns, contributions = evidence_score(q)
-    met = usable.join(asked, "__grp").where(fits)
-    met = met.withColumns({"__points": points, "__against": against, "__unknowns": unknowns, "__parts": contributions})
-    best = F.get(
-        F.array_sort("__parts", lambda a, b: F.when(a["points"] > b["points"], -1).when(a["points"] < b["points"], 1).otherwise(0)), F.lit(0)
-    )["reason"]
-    wishes = q["sweet"].isNotNull() | q["body"].isNotNull() | (F.coalesce(F.size(q["tags"]), F.lit(0)) > 0) | q["novelty"].isNotNull()
-    return met.select(
-        key,
-        "price",
-        "near_area",
-        "near_stores",
-        "checked_recently",
-        evidence_count().alias("evidence_count"),
-        q["id"].alias("request"),
-        wishes.alias("wishes"),
-        q["area"].alias("area"),
-        F.round("__points", 6).alias("points"),
-        F.col("__against").alias("contradicted"),
-        F.col("__unknowns").alias("unknowns"),
-        F.size("__parts").alias("supports"),
-        best.alias("reason"),
-    )
-
-
-def _near() -> Column:
-    return F.coalesce((F.col("near_area") == F.col("area")) & (F.col("near_stores") > 0), F.lit(False))
-
-
-def recommend(profiles: DataFrame, requests: DataFrame | Sequence[Request], key: str = "key", most: int = 6) -> DataFrame:
-    """The best supported items of each request.
-
-    ``profiles`` carry grp, price, near_area, near_stores, checked_recently,
-    less_common, rarity_tier and excluded. Nothing its own listing contradicts
-    is shown, and a wish needs some support."""
-    rows = _requested(profiles, requests, key)
-    served = rows.where(F.col("area").isNull() | _near()).where(~F.col("wishes") | ((F.col("points") > 0) & ~F.col("contradicted")))
-    near = F.when(F.col("area").isNotNull(), F.col("near_stores")).otherwise(0)
-    w = Window.partitionBy("request").orderBy(
-        F.col("points").desc(), near.desc(), F.col("evidence_count").desc(), F.col("price").asc(), F.col(key).asc()
-    )
-    return (
-        served.withColumn("place", F.row_number().over(w))
-        .where(F.col("place") <= most)
-        .select("request", "place", key, "points", "price", "unknowns", "reason")
-    )
-
-
-def eligibility_counts(profiles: DataFrame, requests: DataFrame | Sequence[Request], key: str = "key") -> DataFrame:
-    """Per request: eligible, not near, unknown near, and without information."""
-    rows = _requested(profiles, requests, key)
-    asked = F.col("area").isNotNull()
-    here = ~asked | _near()
-    return rows.groupBy("request").agg(
-        F.count_if(here).alias("eligible"),
-        F.count_if(asked & ~_near() & ~F.col("checked_recently")).alias("unknown_near"),
-        F.count_if(asked & ~_near() & F.col("checked_recently")).alias("not_near"),
-        F.count_if(here & F.col("wishes") & (F.col("supports") == 0)).alias("no_info"),
-    )
-
-
 def evidence_crosstab(profiles: DataFrame) -> DataFrame:
     """Attribute by kind of evidence, source and confidence."""
     kinds = [F.struct(F.lit(a).alias("attribute"), F.col(f"{a}.evidence").alias("evidence"), F.col(f"{a}.source").alias("source"), F.col(f"{a}.confidence").alias("confidence")) for a in ("sweetness", "body", "grapes", "region")]

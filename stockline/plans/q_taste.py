@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import session
 from ..functions import taste_rules as R
-from ..operators import taste as T
+from ..operators import picks as P, taste as T
 from .registry import define, query
 
 # Names, categories and opening sentences dealt out to documents.
@@ -131,6 +131,20 @@ def _styles(i: int) -> str:
     return "case " + " ".join(f"when {r[1]} then '{r[i]}'" for r in R.STYLE_RULES if r[i]) + " end"
 
 
+# What a confidence counts for: a style rule's own, or that of a text, less if others share the text.
+_OF_RULE = {"medium": 0.6, "low": 0.4}
+
+
+def _rule_weight(i: int) -> str:
+    return "case " + " ".join(f"when {r[1]} then {_OF_RULE[r[5]]}" for r in R.STYLE_RULES if r[i]) + " end"
+
+
+def _text_weight(rules) -> str:
+    stated = {"high": "case when generic then 0.8 else 1.0 end", "medium": "case when generic then 0.5 else 0.8 end"}
+    return "case " + " ".join(f"when {_re('d', p, True)} then {stated[sure]}" for _, p, sure in rules) + " end"
+
+
+_TAG_WEIGHT = "case " + " ".join(f"when tag = '{r[4]}' and coalesce({r[1]}, false) then {_OF_RULE[r[5]]}" for r in R.STYLE_RULES if r[4]) + " end"
 _STYLE_TAGS = "[" + ", ".join(
     "case when (" + " or ".join(f"coalesce({r[1]}, false)" for r in R.STYLE_RULES if r[4] == tag) + f") and not list_contains(tg, '{tag}') then '{tag}' end"
     for tag in dict.fromkeys(r[4] for r in R.STYLE_RULES if r[4])
@@ -140,7 +154,11 @@ define(
     f"""select key, name, category, generic, price, color, grapes, region, fizz, coalesce(sw, {_styles(2)}) as sweetness, coalesce(bo, {_styles(3)}) as body,
               case when sw is not null then 'product' when {_styles(2)} is not null then 'style' else 'none' end as sweet_evidence,
               case when bo is not null then 'product' when {_styles(3)} is not null then 'style' else 'none' end as body_evidence,
-              list_concat(tg, list_filter({_STYLE_TAGS}, lambda x: x is not null)) as tags, len(tg) as text_tags
+              list_concat(tg, list_filter({_STYLE_TAGS}, lambda x: x is not null)) as tags, len(tg) as text_tags,
+              case when {_case(R.LABEL_SWEETNESS, 'n')} is not null then 1.0 when sw is not null then {_text_weight(R.TEXT_SWEETNESS)} else {_rule_weight(2)} end as sweet_weight,
+              case when bo is not null then {_text_weight(R.TEXT_BODY)} else {_rule_weight(3)} end as body_weight,
+              list_transform(list_concat(tg, list_filter({_STYLE_TAGS}, lambda x: x is not null)),
+                lambda tag: case when list_contains(tg, tag) then case when generic then 0.8 else 1.0 end else {_TAG_WEIGHT} end) as tag_weights
        from o_w3""",
 )
 
@@ -235,8 +253,11 @@ def attr_overrides(t):
 define(
     "o_merged",
     """select p.* replace (case when s.key is not null then s.value else p.sweetness end as sweetness, case when s.key is not null then 'manual' else p.sweet_evidence end as sweet_evidence,
+                           case when s.key is not null then 1.0 else p.sweet_weight end as sweet_weight,
                            list_concat(case when m.key is not null then list_filter(p.tags, lambda x: x <> 'smooth') else p.tags end,
-                                       case when m.value = 'true' then ['smooth'] else [] end) as tags),
+                                       case when m.value = 'true' then ['smooth'] else [] end) as tags,
+                           list_concat(case when m.key is not null then list_filter(p.tag_weights, lambda x, i: p.tags[i] <> 'smooth') else p.tag_weights end,
+                                       case when m.value = 'true' then [1.0] else [] end) as tag_weights),
               coalesce(e.value = 'true', false) as excluded
        from o_profiles p left join v_attr_overrides s on s.key = p.key and s.attribute = 'sweetness'
        left join v_attr_overrides m on m.key = p.key and m.attribute = 'tag:smooth' left join v_attr_overrides e on e.key = p.key and e.attribute = 'exclude'""",
@@ -277,6 +298,8 @@ REQUESTS = (
     T.Request("full-red", type="red", body="full", tags=("oaky", "spicy"), max_price=60.0),
     T.Request("sweet-near", sweet="sweet", area=AREA),
     T.Request("riesling", grape="Riesling", min_price=10.0),
+    T.Request("other-red", type="red", novelty="style", min_price=7.5, max_price=52.5),
+    T.Request("scarce-smooth", tags=("smooth",), novelty="scarce", min_price=20.0, area=AREA),
 )
 
 
@@ -290,52 +313,78 @@ def ready(t):
         .withColumn("near_area", F.when(key % 3 == 0, AREA))
         .withColumn("near_stores", F.when(key % 3 == 0, (key % 4 + 1).cast("bigint")))
         .withColumn("checked_recently", key % 2 == 0)
-        .withColumn("rarity_tier", F.lit(None).cast("string"))
+        .withColumn("rarity_tier", F.when(key % 11 == 0, "scarce").when(key % 11 == 1, "uncommon").when(key % 11 == 2, "rare"))
     )
 
 
-# Weights and points of the registered requests, restated for the oracle.
+_PICKS: dict = {}
+
+
+def picks(t):
+    """The index of all listings, written once per session as the job that keeps it would."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _PICKS:
+        _PICKS[key] = P.PickIndex.build(session.checkpointed(ready(t)))
+    return _PICKS[key]
+
+
+def _points_sql(table, wish: str, value: str) -> str:
+    return "case " + " ".join(f"when {wish} = '{w}' and {value} = '{v}' then {p}" for w, row in table.items() for v, p in row.items()) + " end"
+
+
+define(
+    "v_asked_wines",
+    "select * from (values "
+    + ", ".join(
+        "(" + ", ".join([*["null" if x is None else f"'{x}'" for x in (r.id, r.type, r.grape)], *["null::double" if x is None else f"{x}::double" for x in (r.min_price, r.max_price)],
+                         *["null" if x is None else f"'{x}'" for x in (r.sweet, r.body)], f"{list(r.tags)}::varchar[]", *["null" if x is None else f"'{x}'" for x in (r.novelty, r.area)]]) + ")"
+        for r in REQUESTS
+    )
+    + ") t(request, type, grape, min_price, max_price, sweet, body, wanted, novelty, area)",
+)
+# Points of every request over every listing, each part by its definition.
 define(
     "o_scored",
-    f"""with p as (select m.*, {_GROUP} as grp from o_merged m where not excluded),
-       b as (select p.*, w.generic as g, case sweet_evidence when 'manual' then 1.0 when 'product' then case when regexp_matches(translate(upper(p.name), 'É', 'E'), 'BRUT|DEMI-SEC') then 1.0 when w.generic then 0.8 else 1.0 end
-                           when 'style' then case when list_contains(p.grapes, 'Gewürztraminer') then 0.4 else 0.6 end else 0 end as ws
-             from p join v_wines w using (key)),
-       s as (select key, price, grp, grapes, sweetness, ws, sweet_evidence, 'dry-white' as request, true as wishes, null as area,
-                    coalesce(case sweetness when 'dry' then 3.0 when 'off-dry' then 1.0 when 'medium-sweet' then -3.0 when 'sweet' then -4.0 end * ws, 0) - case when sweetness is null then 0.5 else 0 end as points,
-                    coalesce(sweetness in ('medium-sweet', 'sweet') and sweet_evidence in ('product', 'manual'), false) as against, sweetness is not null as support
-             from b where grp = 'white' and price <= 40
-             union all
-             select key, price, grp, grapes, sweetness, ws, sweet_evidence, 'sweet-near', true, 'NATION_3',
-                    coalesce(case sweetness when 'dry' then -4.0 when 'off-dry' then 0.0 when 'medium-sweet' then 2.0 when 'sweet' then 3.0 end * ws, 0) - case when sweetness is null then 0.5 else 0 end,
-                    coalesce(sweetness = 'dry' and sweet_evidence in ('product', 'manual'), false), sweetness is not null from b
-             union all
-             select key, price, grp, grapes, sweetness, ws, sweet_evidence, 'riesling', false, null, 0.0, false, false from b where list_contains(grapes, 'Riesling') and price >= 10)
-       select s.*, (s.sweet_evidence in ('product', 'manual'))::int + (m.body_evidence in ('product', 'manual'))::int + (m.grapes is not null)::int + (m.region is not null)::int as ev
-       from s join o_merged m using (key)""",
+    f"""with rare as (select grp, grape from o_shares where n / total < 0.04 and total >= 50),
+       p as (select m.*, {_GROUP} as grp from o_merged m where not excluded),
+       b as (select r.*, p.*, p.sweetness as tastes, p.body as feels, (x.grape is not null) as less_common,
+                    {_points_sql(R.SWEET_POINTS, 'r.sweet', 'p.sweetness')} as s, {_points_sql(R.BODY_POINTS, 'r.body', 'p.body')} as o,
+                    list_transform(wanted, lambda w: case when list_contains(tags, w) then 1.5 * tag_weights[list_position(tags, w)]
+                      when w = 'refreshing' and fizz <> 'still' then 0.5 end) as found,
+                    case when novelty in ('style', 'ask') and x.grape is not null then case novelty when 'ask' then 1.5 else 2.0 end
+                         when novelty = 'scarce' and key % 11 in (0, 1) then 2.0 end as new
+             from p join v_asked_wines r on (r.type is null or r.type = p.grp) and (r.grape is null or list_contains(p.grapes, r.grape))
+               and (r.min_price is null or p.price >= r.min_price) and (r.max_price is null or p.price <= r.max_price)
+             left join rare x on x.grp = p.grp and len(p.grapes) = 1 and x.grape = p.grapes[1])
+       select request, key, price, area, sweet is not null or columns_body or len(wanted) > 0 or novelty is not null as wishes,
+              (sweet is not null and tastes is null)::int + (columns_body and feels is null)::int as unknowns,
+              round(coalesce(s * sweet_weight, 0) + coalesce(o * body_weight, 0) + coalesce(list_sum(found), 0) + coalesce(new, 0)
+                - 0.5 * ((sweet is not null and tastes is null)::int + (columns_body and feels is null)::int), 6)::double as points,
+              coalesce(s <= -3 and sweet_evidence in ('product', 'manual'), false) or coalesce(o <= -2 and body_evidence in ('product', 'manual'), false) as against,
+              s is not null or o is not null or len(list_filter(found, lambda x: x is not null)) > 0 or new is not null as support,
+              (sweet_evidence in ('product', 'manual'))::int + (body_evidence in ('product', 'manual'))::int + (grapes is not null)::int + (region is not null)::int as ev
+       from (select *, o is not null or request in ({", ".join(repr(r.id) for r in REQUESTS if r.body)}) as columns_body from b)""",
 )
 
 
-@query("evidence_score", "select request, key, round(points, 6)::double as points, against as contradicted from o_scored")
+@query("evidence_score", "select request, key, points, against as contradicted from o_scored")
 def _(t):
-    some = [r for r in REQUESTS if r.id in ("dry-white", "sweet-near", "riesling")]
-    return T._requested(ready(t), some, "key").select("request", "key", "points", "contradicted")
+    return P.scores(picks(t), REQUESTS)
 
 
-@query(
-    "recommend",
-    """select request, key, row_number() over (partition by request order by points desc, case when area is not null then key % 4 + 1 else 0 end desc, ev desc, price, key)::int as place,
-              round(points, 6)::double as points, price from o_scored
-       where (area is null or key % 3 = 0) and (not wishes or (points > 0 and not against)) qualify place <= 6""",
-)
+_RANKED = """select request, key, row_number() over (partition by request order by points desc, case when area is not null then key % 4 + 1 else 0 end desc, ev desc, price, key)::int as place,
+              points, price{more} from o_scored where (area is null or key % 3 = 0) and (not wishes or (points > 0 and not against)) qualify place <= 6"""
+
+
+@query("recommend", _RANKED.format(more=""))
 def _(t):
-    some = [r for r in REQUESTS if r.id in ("dry-white", "sweet-near", "riesling")]
-    return T.recommend(ready(t), some).select("request", "key", "place", "points", "price")
+    return P.recommend(picks(t), REQUESTS).select("request", "key", "place", "points", "price")
 
 
-@query("recommend_all")
+@query("recommend_all", _RANKED.format(more=", unknowns, support as has_reason"))
 def _(t):
-    return T.recommend(ready(t), REQUESTS)
+    """With what is not known of each item, and whether there is a sentence for it."""
+    return P.recommend(picks(t), REQUESTS).select("request", "key", "place", "points", "price", "unknowns", F.col("reason").isNotNull().alias("has_reason"))
 
 
 @query(
@@ -345,8 +394,7 @@ def _(t):
        from o_scored group by 1""",
 )
 def _(t):
-    some = [r for r in REQUESTS if r.id in ("dry-white", "sweet-near", "riesling")]
-    return T.eligibility_counts(ready(t), some)
+    return P.eligibility_counts(picks(t), REQUESTS)
 
 
 @query(
