@@ -136,12 +136,15 @@ def snapshot_diff_events(previous: DataFrame, batch: DataFrame) -> DataFrame:
     return both.select("csc", F.explode(events).alias("e")).select("csc", "e.*")
 
 
-def change_events(obs: DataFrame) -> DataFrame:
+def change_events(obs: DataFrame, max_gap_hours: int | None = None) -> DataFrame:
     """The whole change log of an observation history. Event ids are made from
-    observation numbers, so that reruns name the same events."""
+    observation numbers, so that reruns name the same events. ``max_gap_hours``: a row
+    that comes longer after the one before it renews the state and is no event."""
     pairs = skew.neighbours(
-        obs, ["csc"], ["seen_at"], F.to_date("seen_at"), prev={"p_price": "price", "p_qty": "store_qty", "p_seq": "seq"}
+        obs, ["csc"], ["seen_at"], F.to_date("seen_at"), prev={"p_price": "price", "p_qty": "store_qty", "p_seq": "seq", "p_at": "seen_at"}
     )
+    if max_gap_hours is not None:
+        pairs = pairs.where(F.col("p_at").isNull() | (F.col("seen_at") <= F.col("p_at") + F.expr(f"interval {max_gap_hours} hours")))
     events = _typed_events("p_price", None, "p_qty", F.col("p_seq").isNotNull())
     number = F.create_map(*[F.lit(x) for kv in EVENT_CODES.items() for x in kv])
     return pairs.select("csc", "seen_at", "seq", F.explode(events).alias("e")).select(

@@ -6,11 +6,12 @@ SQL leaves out windows still open at the end of the table.
 
 from __future__ import annotations
 
-from hashlib import md5
+import uuid
 
 from pyspark.sql import functions as F
 
-from ..streaming import live as s
+from ..session import shared_folder
+from ..streaming import live as s, ordered
 from .registry import define, query
 from .standins import AGENTS
 
@@ -19,16 +20,6 @@ def events(t):
     return s.read_events(t.spark, t.folder)
 
 
-def _drain(t, name, stream):
-    """Each query and folder has its own output and progress."""
-    return s.drain(stream, f"{name}-{md5(t.folder.encode()).hexdigest()}")
-
-
-def _drain_closed(t, name, rule):
-    """As ``_drain``, over the whole table: its end releases what ``rule`` holds."""
-    return s.drain_closed(events(t), f"{name}-{md5(t.folder.encode()).hexdigest()}", rule)
-
-
 def _naive(df, *cols):
     for c in cols:
         df = df.withColumn(c, F.col(c).cast("timestamp_ntz"))
@@ -44,7 +35,7 @@ define("o_slides", "select ts, user_id, event_type, unnest(generate_series(1, 10
        group by 1 having until <= (select t from clock) - interval 10 minute""",
 )
 def _(t):
-    return _naive(_drain(t, "stream_live_visitors", s.live_visitors(events(t))), "until")
+    return _naive(s.drain(s.live_visitors(events(t))), "until")
 
 
 @query(
@@ -55,7 +46,7 @@ def _(t):
        having closes_at <= (select t from clock) - interval 1 hour""",
 )
 def _(t):
-    return _naive(_drain(t, "stream_sessions", s.sessions(events(t))), "started_at", "closes_at")
+    return _naive(s.drain(s.sessions(events(t))), "started_at", "closes_at")
 
 
 def _obs(e):
@@ -75,22 +66,25 @@ def _obs(e):
        where g is null or g <= interval 48 hour""",
 )
 def _(t):
-    return _naive(_drain_closed(t, "stream_change_events", lambda e: s.change_events(_obs(e).drop("store_id"))), "created_at")
+    return ordered.change_events(_obs(events(t)).drop("store_id"), ended=True)
 
 
 @query("stream_gap_suppression", "select event_id, csc, store_id, qty, created_at from v_store_restocks")
 def _(t):
-    def rule(e):
-        return s.store_restocks(_obs(e).select("csc", "store_id", "seen_at", "seq", F.col("store_qty").alias("qty")))
-
-    return _naive(_drain_closed(t, "stream_gap_suppression", rule), "created_at")
+    obs = _obs(events(t)).select("csc", "store_id", "seen_at", "seq", F.col("store_qty").alias("qty"))
+    return ordered.store_restocks(obs, ended=True)
 
 
 @query("stream_delivery_dedupe", "select distinct user_id, event_id from events")
 def _(t):
+    """Delivered from a stream, and once more from a second run over the same files."""
     pairs = events(t).select("user_id", "event_id", "ts")
     again = events(t).select("user_id", "event_id", "ts")
-    return _drain(t, "stream_delivery_dedupe", s.delivery_dedupe(pairs.unionByName(again))).select("user_id", "event_id")
+    run = uuid.uuid4().hex
+    ledger = f"{shared_folder(t.spark)}/ledger-{run}"
+    s.deliver(s.delivery_dedupe(pairs.unionByName(again)), ledger, f"{run}-first")
+    s.deliver(pairs, ledger, f"{run}-second")
+    return s.read_ledger(t.spark, ledger).select("user_id", "event_id")
 
 
 @query(
@@ -101,7 +95,7 @@ def _(t):
 def _(t):
     e = events(t).withColumn("key", F.col("user_id"))
     o = events(t).withColumn("key", F.col("user_id"))
-    out = _drain(t, "stream_superseded_filter", s.standing_restocks(e.where("event_type = 'signup'"), o.where("event_type = 'error'")))
+    out = s.drain(s.standing_restocks(e.where("event_type = 'signup'"), o.where("event_type = 'error'")))
     return out.select("event_id", "key")
 
 
@@ -111,7 +105,7 @@ def _(t):
        having count(*) > 2 and window_start + interval 1 hour <= (select t from clock) - interval 2 hour""",
 )
 def _(t):
-    return _naive(_drain(t, "stream_fixed_window_limits", s.fixed_window_limits(events(t), limit=2)), "window_start")
+    return _naive(s.drain(s.fixed_window_limits(events(t), limit=2)), "window_start")
 
 
 @query(
@@ -120,7 +114,7 @@ def _(t):
        having count(*) >= 3 and until <= (select max(ts) from events where event_type = 'error') - interval 10 minute""",
 )
 def _(t):
-    return _naive(_drain(t, "stream_circuit_breaker", s.circuit_breaker(events(t), failures=3)), "until")
+    return _naive(s.drain(s.circuit_breaker(events(t), failures=3)), "until")
 
 
 @query(
@@ -131,7 +125,7 @@ def _(t):
        left join c on c.hour = g.hour and c.event_type = k.event_type""",
 )
 def _(t):
-    counts = _drain(t, "stream_zero_buckets", s.hourly_counts(events(t)))
+    counts = s.drain(s.hourly_counts(events(t)))
     return _naive(s.zero_filled(counts, ["view", "click", "purchase", "signup", "error"]), "hour")
 
 
@@ -151,4 +145,4 @@ def _(t):
         "event_id", "ts", "user_id", F.lpad(k.cast("string"), 6, "0").alias("csc"),
         F.get(F.array(*[F.lit(a) for a in AGENTS]), (u % 8).cast("int")).alias("agent"), token.alias("token"),
     )
-    return _naive(_drain(t, "stream_enrich", s.enrich(views, t.products)), "ts")
+    return _naive(s.drain(s.enrich(views, t.products)), "ts")

@@ -6,15 +6,11 @@ of the available files. Watermarks bound every state store.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from datetime import datetime, timedelta
+import uuid
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import clients
-from ..operators.ingest import EVENT_CODES
 from ..session import shared_folder
 
 EVENTS = T.StructType(
@@ -42,13 +38,14 @@ def read_events(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type", "value", k.alias("k"))
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drain(stream: DataFrame, run: str | None = None, mode: str = "append") -> DataFrame:
     """Runs a stream over what is available and returns its output table.
 
-    Output and progress lie under ``name`` in the shared folder, so a run after
-    a stop goes on from the last finished batch."""
+    ``run``: a name for output and progress in the shared folder, chosen by the caller for one
+    rule, its parameters and its input. A later call of the same name goes on from the last
+    finished batch, also in another session. Without it the run is one of its own."""
     spark = stream.sparkSession
-    base = f"{shared_folder(spark)}/stream-{name}"
+    base = f"{shared_folder(spark)}/stream-{run or uuid.uuid4().hex}"
     q = (
         stream.writeStream.outputMode(mode)
         .format("parquet")
@@ -61,26 +58,6 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
 
 
-# The time of the row that closes a stream; no observation is as late.
-CLOSE = "2200-01-01"
-
-
-def drain_closed(events: DataFrame, name: str, rule: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Runs ``rule`` over what is available and releases the rows it still holds.
-
-    For inputs that have ended: one row at ``CLOSE`` follows all others, so the
-    watermark passes them. A stream that goes on is run by ``drain``."""
-    spark = events.sparkSession
-    folder = f"{shared_folder(spark)}/stream-{name}/close"
-    marker = spark.sql(f"select timestamp '{CLOSE} 00:00:00' as ts").select(*[F.col("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema])
-    marker.limit(0).write.mode("ignore").parquet(folder)
-    stream = rule(events.unionByName(spark.readStream.schema(events.schema).parquet(folder)))
-    drain(stream, name)
-    if spark.read.schema(events.schema).parquet(folder).isEmpty():
-        marker.write.mode("append").parquet(folder)
-    return drain(stream, name)
-
-
 def live_visitors(events: DataFrame, window: str = "5 minutes", slide: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Distinct visitors over sliding windows, counted exactly: first each visitor's views
     in a window, which may lie on many tasks, then the visitors of the window. The state
@@ -108,115 +85,40 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -
     )
 
 
-_EPOCH = datetime(1970, 1, 1)
-
-
-def _in_order(new: Iterator[pd.DataFrame], state: GroupState, fold: Callable) -> list:
-    """What ``fold(last, row)`` puts out for a key's rows in order of (at, seq).
-
-    State: the fields of the last row folded, then one list for each of the fields of
-    the rows held. A row waits until the watermark has reached its time: no earlier
-    one can come then. A row is (at in microseconds, seq, values...); of rows with one
-    time the first counts."""
-    at_end = state.getCurrentWatermarkMs() * 1000
-    last, held = None, []
-    if state.exists:
-        old = tuple(state.get)
-        n = len(old) // 2
-        last = old[:n] if old[0] is not None else None
-        held = list(zip(*old[n:]))
-    for rows in new:
-        if len(rows):
-            at = rows["seen_at"].astype("datetime64[us]").astype("int64")
-            held.extend(zip(at.tolist(), *[rows[c].tolist() for c in rows.columns if c != "seen_at"]))
-    held.sort(key=lambda r: r[:2])
-    out = []
-    ready = [r for r in held if r[0] <= at_end]
-    held = held[len(ready) :]
-    for r in ready:
-        if last is None or r[0] > last[0]:
-            out.extend(fold(last, r, _EPOCH + timedelta(microseconds=r[0])))
-            last = r
-    if last is not None or held:
-        n = len(last or held[0])
-        state.update((*(last or (None,) * n), *([r[k] for r in held] for k in range(n))))
-    if held:
-        state.setTimeoutTimestamp(max(held[0][0] // 1000, at_end // 1000) + 1)
-    return out
-
-
-def _held(fields: str) -> str:
-    """The state's columns: ``fields`` of the last row and of the rows held."""
-    both = [f.split() for f in fields.split(", ")]
-    return ", ".join([f"{c} {t}" for c, t in both] + [f"held_{c} array<{t}>" for c, t in both])
-
-
-def _behind(obs: DataFrame, late: str) -> DataFrame:
-    """``obs`` with a watermark, and without the row that closes a stream."""
-    return obs.withWatermark("seen_at", late).where(F.col("seen_at") < F.lit(CLOSE).cast("timestamp"))
-
-
-_CHANGE = "event_id long, csc string, event_type string, old string, new string, created_at timestamp"
-
-
-def change_events(obs: DataFrame, max_gap_hours: int = 48, late: str = "7 days") -> DataFrame:
-    """Typed changes of each key against its last known state.
-
-    Rows are held for ``late`` behind the newest and taken in order of time, however
-    files and batches are ordered; only rows later than that are lost. After a longer
-    gap the state is renewed without events. ``obs``: (csc, seen_at, seq, store_qty, price)."""
-    gap = max_gap_hours * 3_600_000_000
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def fold(last: tuple | None, row: tuple, at: datetime) -> list:
-            time, seq, qty, price = row
-            found = []
-            if last is None:
-                found.append(("new_product", None, str(price)))
-            elif time - last[0] <= gap:
-                if last[3] != price:
-                    found.append(("price_change", str(last[3]), str(price)))
-                if last[2] == 0 and qty > 0:
-                    found.append(("restock", str(last[2]), str(qty)))
-                if last[2] > 0 and qty == 0:
-                    found.append(("out_of_stock", str(last[2]), str(qty)))
-            return [(seq * 8 + EVENT_CODES[kind], key[0], kind, old, new, at) for kind, old, new in found]
-
-        rows = (b[["seen_at", "seq", "store_qty", "price"]] for b in batches if len(b))
-        yield pd.DataFrame(_in_order(rows, state, fold), columns=["event_id", "csc", "event_type", "old", "new", "created_at"])
-
-    state = _held("seen_at long, seq long, store_qty int, price double")
-    return _behind(obs, late).groupBy("csc").applyInPandasWithState(step, _CHANGE, state, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def store_restocks(obs: DataFrame, max_age_hours: int = 168, late: str = "7 days") -> DataFrame:
-    """Stores known to be empty, not too long ago, that have stock again. Rows are
-    held and ordered as for ``change_events``. ``obs``: (csc, store_id, seen_at, seq, qty)."""
-    age = max_age_hours * 3_600_000_000
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def fold(last: tuple | None, row: tuple, at: datetime) -> list:
-            time, seq, qty = row
-            again = last is not None and last[2] == 0 and qty > 0 and time - last[0] < age
-            return [(seq * 8 + EVENT_CODES["store_restock"], key[0], int(key[1]), qty, at)] if again else []
-
-        rows = (b[["seen_at", "seq", "qty"]] for b in batches if len(b))
-        yield pd.DataFrame(_in_order(rows, state, fold), columns=["event_id", "csc", "store_id", "qty", "created_at"])
-
-    return _behind(obs, late).groupBy("csc", "store_id").applyInPandasWithState(
-        step,
-        "event_id long, csc string, store_id int, qty int, created_at timestamp",
-        _held("seen_at long, seq long, qty int"),
-        "append",
-        GroupStateTimeout.EventTimeTimeout,
-    )
-
-
 def delivery_dedupe(pairs: DataFrame, late: str = "48 hours") -> DataFrame:
     """Each (user, event) once within the lookback."""
     return pairs.withWatermark("ts", late).dropDuplicatesWithinWatermark(["user_id", "event_id"])
 
 
+def read_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """What has been sent: user_id, event_id, ts, and the batch it lies under."""
+    schema = "user_id long, event_id long, ts timestamp, batch string"
+    return spark.read.schema(schema).option("basePath", folder).parquet(folder)
+
+
+def deliver(pairs: DataFrame, ledger: str, run: str) -> None:
+    """Sends each (user, event) of ``pairs`` (user_id, event_id, ts, the time of the event) once, for good: what is in
+    the ledger is not sent again, however late it comes back.
+
+    A batch writes what it sends under its own name, ``run`` and the batch's number, so a batch
+    that is repeated after a failure replaces what it had written and sends nothing twice; it
+    does not look at its own rows. Batches are sorted by time, so of the ledger only row groups
+    with events of the batch's span are read."""
+    spark = pairs.sparkSession
+
+    def send(batch: DataFrame, number: int) -> None:
+        name = f"{run}-{number}"
+        once = batch.groupBy("user_id", "event_id").agg(F.min("ts").alias("ts"))
+        first, last = once.agg(F.min("ts"), F.max("ts")).first()
+        sent = read_ledger(spark, ledger).where((F.col("batch") != name) & F.col("ts").between(first, last))
+        new = once.join(sent.select("user_id", "event_id"), ["user_id", "event_id"], "left_anti")
+        new.sortWithinPartitions("ts").write.mode("overwrite").parquet(f"{ledger}/batch={name}")
+
+    spark.createDataFrame([], "user_id long, event_id long, ts timestamp").write.mode("overwrite").parquet(f"{ledger}/batch=none")
+    q = pairs.writeStream.foreachBatch(send).option("checkpointLocation", f"{shared_folder(spark)}/stream-{run}/progress").trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def standing_restocks(restocks: DataFrame, sellouts: DataFrame, delay: str = "6 hours", late: str = "1 hour") -> DataFrame:
     """Restocks not cancelled by a sell-out of the same key within the delay."""
     r = restocks.select("event_id", F.col("key").alias("r_key"), F.col("ts").alias("r_ts")).withWatermark("r_ts", late)
