@@ -115,8 +115,8 @@ def stores_per_day(
     as_of: datetime,
     zone: str = times.LOCAL_ZONE,
 ) -> DataFrame:
-    """Distinct stores holding stock on each in-stock day. Days before a key's
-    first store check are unknown and absent."""
+    """Distinct stores holding stock on each in-stock day, by a sweep over the days. Days
+    before a key's first store check are unknown and absent."""
     known = store_obs.groupBy("csc").agg(F.min("seen_at").alias("first_check"))
     base = (
         grid.where("in_stock")
@@ -125,27 +125,44 @@ def stores_per_day(
         .where(F.col("first_check") <= F.col("t_last"))
         .select("csc", "d")
     )
-    last_day = days.agg(F.max("d")).scalar()
-    first_day = days.agg(F.min("d")).scalar()
+    numbers = day_numbers(days)
+    steps = _held_marks(intervals, numbers, as_of, zone)
+    asked = base.join(numbers.where("seen").select("d", F.col("after").alias("i")), "d").select("csc", "i", F.lit(0).alias("step"), "d")
+    both = asked.unionByName(steps.withColumn("d", F.lit(None).cast("date"))).groupBy("csc", "i").agg(F.sum("step").alias("step"), F.max("d").alias("d"))
+    held = skew.running(both, ["csc"], ["i"], F.floor(F.col("i") / 30), {"stores": "step"})
+    return held.where(F.col("d").isNotNull()).select("csc", "d", F.col("stores").cast("bigint").alias("stores"))
+
+
+def day_numbers(days: DataFrame) -> DataFrame:
+    """One row per calendar day of the window: whether it was observed, the number of the first
+    observed day from it on (``after``) and of the last up to it (``before``)."""
+    span = days.agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a is not null")
+    calendar = span.select(F.explode(F.sequence("a", "b")).alias("d")).join(days.select("d", "t_first", "t_last"), "d", "left")
+    seen = F.count("t_first").over(Window.orderBy("d").rowsBetween(Window.unboundedPreceding, 0))  # a row per day
+    numbered = calendar.withColumn("__n", seen).withColumn("seen", F.col("t_first").isNotNull())
+    return numbered.select("d", "t_first", "t_last", "seen", (F.col("__n") - F.col("seen").cast("int")).alias("after"), (F.col("__n") - 1).alias("before"))
+
+
+def _held_marks(intervals: DataFrame, numbers: DataFrame, as_of: datetime, zone: str) -> DataFrame:
+    """Marks (csc, i, step): a store begins (+1) or stops (-1) to hold stock with observed day i.
+    Summed up in order they are the stores holding stock, without a row per store and day. A
+    store's stretches that share a day are joined, so it counts once."""
     stop = F.least(F.coalesce("t1", times.ts(as_of)), times.ts(as_of))
-    held = (
-        intervals.where("pos")
-        .select(
-            "csc",
-            "store_id",
-            "t0",
-            "t1",
-            F.greatest(times.local_date("t0", zone), first_day).alias("a"),
-            F.least(times.local_date(stop, zone), last_day).alias("b"),
-        )
-        .where("a <= b")
-        .select("csc", "store_id", "t0", "t1", F.explode(F.sequence("a", "b")).alias("d"))
-        .join(days, "d")
-        .where((F.col("t0") <= F.col("t_last")) & (F.col("t1").isNull() | (F.col("t1") > F.col("t_first"))))
-        .groupBy("csc", "d")
-        .agg(F.countDistinct("store_id").alias("n"))
-    )
-    return base.join(held, ["csc", "d"], "left").select("csc", "d", F.coalesce("n", F.lit(0)).alias("stores"))
+    held = intervals.where("pos").select("csc", "store_id", "t0", "t1", times.local_date("t0", zone).alias("a"), times.local_date(stop, zone).alias("b"))
+    first, last = numbers.agg(F.min("d")).scalar(), numbers.agg(F.max("d")).scalar()
+    days = numbers.agg(F.max("before") + 1).scalar()
+    start = numbers.select(F.col("d").alias("a"), F.col("t_last").alias("a_last"), F.col("seen").alias("a_seen"), F.col("after").alias("a_after"))
+    end = numbers.select(F.col("d").alias("b"), F.col("t_first").alias("b_first"), F.col("seen").alias("b_seen"), F.col("before").alias("b_before"))
+    # A day that ended before the stretch began, or began after it stopped, is not in it.
+    i = F.when(F.col("a") < first, 0).when(F.col("a") > last, days).otherwise(F.col("a_after") + (F.col("a_seen") & (F.col("t0") > F.col("a_last"))).cast("int"))
+    over = F.col("b_seen") & F.col("t1").isNotNull() & (F.col("t1") <= F.col("b_first"))
+    j = F.when(F.col("b") < first, -1).when(F.col("b") > last, days - 1).otherwise(F.col("b_before") - over.cast("int"))
+    spans = held.join(F.broadcast(start), "a", "left").join(F.broadcast(end), "b", "left")  # a row per calendar day
+    spans = spans.select("csc", "store_id", "t0", i.alias("i"), j.alias("j")).where("i <= j")
+    spans = skew.neighbours(spans, ["csc", "store_id"], ["t0"], F.to_date("t0"), prev={"upto": "j"})
+    spans = spans.withColumn("i", F.greatest("i", F.coalesce(F.col("upto") + 1, F.lit(0)))).where("i <= j")
+    marks = F.array(F.struct(F.col("i").cast("long").alias("i"), F.lit(1).alias("step")), F.struct((F.col("j") + 1).cast("long").alias("i"), F.lit(-1).alias("step")))
+    return spans.select("csc", F.explode(marks).alias("m")).select("csc", "m.i", "m.step")
 
 
 def coverage_gaps(days: DataFrame) -> DataFrame:
