@@ -451,26 +451,51 @@ def recheck_decay(store_obs: DataFrame, sizes: tuple[int, int] = (50, 200)) -> D
     )
 
 
-def run_gap_stats(runs: DataFrame, as_of: datetime, killed_minutes: int = 45) -> DataFrame:
-    """One row: runs, failures, killed, median and longest gap, runs per day."""
+def run_rows(runs: DataFrame, as_of: datetime, killed_minutes: int = 45) -> DataFrame:
+    """Each run with its minutes, the hours since the one before, and whether it was killed,
+    that is never finished. ``attempted``, ``checked`` and ``failed`` pass where a run has them."""
     prev = skew.neighbours(runs, [], ["started_at"], _day("started_at"), prev={"prev_at": "started_at"})
-    rows = prev.withColumn("gap_hours", times.hours_between("started_at", "prev_at")).withColumn(
-        "minutes", times.seconds_between("finished_at", "started_at") / 60
+    counts = [c for c in ("attempted", "checked", "failed") if c in runs.columns]
+    return prev.select(
+        "started_at",
+        "ok",
+        (F.col("finished_at").isNull() & (F.col("started_at") < times.ago(as_of, f"{killed_minutes} minutes"))).alias("killed"),
+        (times.seconds_between("finished_at", "started_at") / 60).alias("minutes"),
+        times.hours_between("started_at", "prev_at").alias("gap_hours"),
+        *counts,
     )
+
+
+def run_gap_stats(runs: DataFrame, as_of: datetime, killed_minutes: int = 45) -> DataFrame:
+    """One row: runs, failures, killed, median and longest gap, runs per day; and of the good
+    runs that count their items (attempted, checked, failed) the seconds an item, the share that
+    failed, and checks per day."""
+    rows = run_rows(runs, as_of, killed_minutes)
     q = skew.quantiles(rows, [], "gap_hours", {"gap_hours_median": 0.5}, width=0.25)
     median = q.select("gap_hours_median").scalar()
-    killed = F.col("finished_at").isNull() & (F.col("started_at") < times.ago(as_of, f"{killed_minutes} minutes"))
-    return rows.agg(
+    days = times.hours_between(F.max("started_at"), F.min("started_at")) / 24
+    measures = [
         F.count("*").alias("runs"),
         F.count_if("ok").alias("ok"),
         F.count_if(F.expr("not ok")).alias("failed"),
-        F.count_if(killed).alias("killed"),
+        F.count_if("killed").alias("killed"),
         F.round(F.max("gap_hours"), 4).alias("gap_hours_max"),
         F.round(F.sum("minutes"), 2).alias("minutes"),
-        F.round(F.count("*") / (times.hours_between(F.max("started_at"), F.min("started_at")) / 24), 4).alias(
-            "runs_per_day"
-        ),
-    ).withColumn("gap_hours_median", F.round(median, 4))
+        F.round(F.count("*") / days, 4).alias("runs_per_day"),
+    ]
+    if "attempted" in rows.columns:
+        done = F.col("ok") & (F.col("attempted") > 0)
+
+        def total(c: str) -> Column:
+            return F.sum(F.when(done, F.col(c)))
+
+        items = F.nullif(total("attempted"), F.lit(0))
+        measures += [
+            F.round(total("minutes") * 60 / items, 4).alias("seconds_per_item"),
+            F.round(total("failed") / items, 4).alias("failure_rate"),
+            F.round(total("checked") / days, 4).alias("checks_per_day"),
+        ]
+    return rows.agg(*measures).withColumn("gap_hours_median", F.round(median, 4))
 
 
 def event_to_action_lag(changes: DataFrame, deliveries: DataFrame) -> DataFrame:

@@ -252,12 +252,16 @@ def ratings_effect(views: DataFrame, watch: DataFrame, resolved: DataFrame, star
     )
 
 
-def discovery_actions(actions: DataFrame) -> DataFrame:
-    """Clicks, taps, requests and confirmed watches by surface and view.
+def _since(rows: DataFrame, start: datetime | None) -> DataFrame:
+    return rows if start is None else rows.where(F.col("created_at") >= times.ts(start))
+
+
+def discovery_actions(actions: DataFrame, start: datetime | None = None) -> DataFrame:
+    """Clicks, taps, requests and confirmed watches by surface and view, from ``start`` on.
 
     ``actions``: (event_id, visitor_id, created_at, kind, surface, view, rank, results, query)."""
     kind = F.col("kind")
-    return actions.where("view is not null").groupBy("surface", "view").agg(
+    return _since(actions, start).where("view is not null").groupBy("surface", "view").agg(
         F.countDistinct(F.when(kind == "click", F.col("visitor_id"))).alias("clickers"),
         F.count_if(kind == "click").alias("clicks"),
         F.count_if(kind == "watch_click").alias("watch_clicks"),
@@ -280,10 +284,16 @@ def discovery_rollup(actions: DataFrame) -> DataFrame:
     )
 
 
-def discovery_visits(views: DataFrame, path: str = "/search") -> DataFrame:
-    """Visitors of a page and those who came in two or more sessions."""
-    per = views.where(F.col("path") == path).groupBy("visitor_id").agg(F.countDistinct("session_id").alias("sessions"))
-    return per.agg(F.count("*").alias("visitors"), F.count_if(F.col("sessions") >= 2).alias("returning"))
+def discovery_visits(views: DataFrame, path: str = "/search", start: datetime | None = None, home: str = "/") -> DataFrame:
+    """Visitors of a page, those who came to it in two or more sessions, and those of the home
+    page, from ``start`` on. One pass: both pages are counted by visitor."""
+    at = F.col("path")
+    per = _since(views, start).where(at.isin(path, home)).groupBy("visitor_id").agg(
+        F.countDistinct(F.when(at == path, F.col("session_id"))).alias("sessions"), F.bool_or(at == home).alias("home")
+    )
+    return per.agg(
+        F.count_if(F.col("sessions") >= 1).alias("visitors"), F.count_if(F.col("sessions") >= 2).alias("returning"), F.count_if("home").alias("home_visitors")
+    )
 
 
 def traffic_by_period(views: DataFrame, unit: str = "day", zone: str = times.LOCAL_ZONE) -> DataFrame:
@@ -306,6 +316,7 @@ def session_funnel(views: DataFrame) -> DataFrame:
         F.min(F.when(_searched(), F.col("created_at"))).alias("first_search"),
         F.max(F.when(F.col("csc").isNotNull(), F.col("created_at"))).alias("last_product"),
         F.bool_or(F.col("is_landing") & F.col("csc").isNotNull()).alias("landed"),
+        F.bool_or(F.col("user_id").isNotNull()).alias("signed_in"),
     )
     return s.agg(
         F.count("*").alias("sessions"),
@@ -313,12 +324,16 @@ def session_funnel(views: DataFrame) -> DataFrame:
         F.count("last_product").alias("with_product_view"),
         F.count_if("landed").alias("landed_on_product"),
         F.count_if(F.col("last_product") > F.col("first_search")).alias("search_then_product"),
+        F.count_if("signed_in").alias("signed_in_sessions"),
     )
 
 
-def watch_attribution(watch: DataFrame, views: DataFrame, before: str = "2 hours", after: str = "5 minutes") -> DataFrame:
+def watch_attribution(
+    watch: DataFrame, views: DataFrame, before: str = "2 hours", after: str = "5 minutes", intents: DataFrame | None = None
+) -> DataFrame:
     """One row: adds, adds by tracked users, adds near a view of the same item,
-    and those whose session had searched before.
+    those whose session had searched before, and those asked for while signed out.
+    ``intents``: signed-out requests (csc, applied_user), null until applied.
 
     An equi-join on (user, item) with the time range as a further condition."""
     searched = views.where(_searched()).groupBy("session_id").agg(F.min("created_at").alias("first_search"))
@@ -340,14 +355,19 @@ def watch_attribution(watch: DataFrame, views: DataFrame, before: str = "2 hours
         .agg(F.bool_or("after_search").alias("after_search"))
     )
     tracked = views.select("user_id").distinct().withColumn("tracked", F.lit(True))
+    if intents is None:
+        intents = watch.limit(0).select(F.col("user_id").alias("applied_user"), "csc")
+    requested = intents.where("applied_user is not null").select(F.col("applied_user").alias("user_id"), "csc").distinct().withColumn("requested", F.lit(True))
     return (
         watch.join(hits, ["user_id", "csc"], "left")
         .join(tracked, "user_id", "left")
+        .join(requested, ["user_id", "csc"], "left")
         .agg(
             F.count("*").alias("adds"),
             F.count("tracked").alias("by_tracked_users"),
             F.count("after_search").alias("after_product_view"),
             F.count_if("after_search").alias("after_search_then_product"),
+            F.count("requested").alias("via_signed_out_request"),
             F.countDistinct("user_id").alias("users"),
         )
     )
@@ -487,14 +507,27 @@ def hour_dow(views: DataFrame, zone: str = times.LOCAL_ZONE) -> DataFrame:
     )
 
 
-def geo_device_mix(views: DataFrame, n: int = 20) -> DataFrame:
-    """Sessions and visitors by place and by device, top of each."""
+def geo_device_mix(views: DataFrame, n: int = 20, home_region: str | None = None) -> DataFrame:
+    """Sessions and visitors by region, by city (of ``home_region``, if one is given), by client,
+    by campaign, and of landing views by referrer; the top of each. ``views`` have country,
+    region, city, device, os, browser, referrer_host, utm_source, utm_medium, utm_campaign."""
+
+    def kind(mix: str, *parts: Column, when: Column = F.lit(True)) -> Column:
+        return F.when(when, F.struct(F.lit(mix).alias("mix"), F.concat_ws(" / ", *parts).alias("value")))
+
+    def named(column: str, none: str) -> Column:
+        return F.coalesce(column, F.lit(none))
+
+    at_home = F.lit(True) if home_region is None else F.coalesce(F.col("region") == home_region, F.lit(False))
     kinds = F.array(
-        F.struct(F.lit("place").alias("mix"), F.concat_ws(" / ", F.coalesce("country", F.lit("?")), F.coalesce("city", F.lit("?"))).alias("value")),
-        F.struct(F.lit("client").alias("mix"), F.concat_ws(" / ", "device", "os", "browser").alias("value")),
+        kind("region", named("country", "?"), named("region", "?")),
+        kind("city", named("city", "?"), when=at_home),
+        kind("client", F.col("device"), F.col("os"), F.col("browser")),
+        kind("campaign", F.col("utm_source"), named("utm_medium", "?"), named("utm_campaign", "?"), when=F.col("utm_source").isNotNull()),
+        kind("referrer", named("referrer_host", "(none)"), when=F.col("is_landing")),
     )
     per = (
-        views.select("session_id", "visitor_id", F.explode(kinds).alias("m"))
+        views.select("session_id", "visitor_id", F.explode(F.array_compact(kinds)).alias("m"))
         .groupBy("m.mix", "m.value")
         .agg(F.countDistinct("session_id").alias("sessions"), F.countDistinct("visitor_id").alias("visitors"))
     )

@@ -322,19 +322,41 @@ def _(t):
     return h.recheck_decay(t.store_obs, sizes=(10, 30))
 
 
+define(
+    "v_counted_runs",
+    """select *, 40 + second(started_at) as attempted, 40 + second(started_at) - minute(started_at) % 4 as checked, minute(started_at) % 4 as failed from v_runs""",
+)
+define(
+    "o_run_rows",
+    """select *, (epoch_us(started_at) - epoch_us(lag(started_at) over (order by started_at))) / 1e6 / 3600 as gap_hours,
+              (epoch_us(finished_at) - epoch_us(started_at)) / 1e6 / 60 as minutes, finished_at is null and started_at < (select t from clock) - interval 45 minute as killed
+       from v_counted_runs""",
+)
+
+
+def counted_runs(t):
+    tried, failed = F.second("started_at") + 40, F.minute("started_at") % 4
+    return t.runs.withColumns({"attempted": tried, "checked": tried - failed, "failed": failed})
+
+
+@query("run_rows", "select started_at, ok, killed, minutes, round(gap_hours, 6) as gap_hours, attempted::int as attempted, checked::int as checked, failed::int as failed from o_run_rows")
+def _(t):
+    return h.run_rows(counted_runs(t), t.as_of).withColumn("gap_hours", F.round("gap_hours", 6))
+
+
 @query(
     "run_gap_stats",
-    """select count(*) as runs, count(*) filter (where ok) as ok, count(*) filter (where not ok) as failed,
-              count(*) filter (where finished_at is null and started_at < (select t from clock) - interval 45 minute) as killed,
-              round(max(gap), 4) as gap_hours_max,
-              round(sum((epoch_us(finished_at) - epoch_us(started_at)) / 1e6 / 60), 2) as minutes,
+    """select count(*) as runs, count(*) filter (where ok) as ok, count(*) filter (where not ok) as failed, count(*) filter (where killed) as killed,
+              round(max(gap_hours), 4) as gap_hours_max, round(sum(minutes), 2) as minutes,
               round(count(*) / ((epoch_us(max(started_at)) - epoch_us(min(started_at))) / 1e6 / 3600 / 24), 4) as runs_per_day,
-              round(quantile_cont(gap, 0.5), 4) as gap_hours_median
-       from (select *, (epoch_us(started_at) - epoch_us(lag(started_at) over (order by started_at))) / 1e6 / 3600 as gap
-             from v_runs)""",
+              round(quantile_cont(gap_hours, 0.5), 4) as gap_hours_median,
+              round(sum(minutes) filter (where ok) * 60 / sum(attempted) filter (where ok), 4) as seconds_per_item,
+              round(sum(o_run_rows.failed) filter (where ok) / sum(attempted) filter (where ok), 4) as failure_rate,
+              round(sum(checked) filter (where ok) / ((epoch_us(max(started_at)) - epoch_us(min(started_at))) / 1e6 / 3600 / 24), 4) as checks_per_day
+       from o_run_rows""",
 )
 def _(t):
-    return h.run_gap_stats(t.runs, t.as_of)
+    return h.run_gap_stats(counted_runs(t), t.as_of)
 
 
 @query(

@@ -286,15 +286,27 @@ def tables(t):
         "changes": (t.changes, "created_at"),
         "orders": (t.table("orders"), "o_orderdate"),
         "lines": (t.table("lineitem"), "l_shipdate"),
+        "page_views": (t.views, "created_at"),
+        "actions": (t.actions, "created_at"),
+        "store_checks": (t.store_obs, "seen_at"),
+        "deliveries": (t.deliveries, "sent_at"),
+        "watches": (t.watch, "created_at"),
+        "runs": (t.runs, "started_at"),
+        "sales": (t.sales, "period_month"),
     }
 
 
+_MORE = (("page_views", "v_views", "created_at"), ("actions", "v_actions", "created_at"), ("store_checks", "v_store_obs", "seen_at"), ("deliveries", "v_deliveries", "sent_at"),
+         ("watches", "v_watch", "created_at"), ("runs", "v_runs", "started_at"), ("sales", "v_sales", "period_month"))
+
+
 @query(
     "table_growth",
     """select 'observations' as name, count(*) as rows, min(seen_at) as first, max(seen_at) as last from v_obs
        union all select 'changes', count(*), min(created_at), max(created_at) from v_changes
        union all select 'orders', count(*), min(o_orderdate), max(o_orderdate) from orders
-       union all select 'lines', count(*), min(l_shipdate), max(l_shipdate) from lineitem""",
+       union all select 'lines', count(*), min(l_shipdate), max(l_shipdate) from lineitem"""
+    + "".join(f" union all select '{n}', count(*), min({at}), max({at}) from {v}" for n, v, at in _MORE),
 )
 def _(t):
     return r.table_growth(tables(t))
@@ -305,7 +317,8 @@ def _(t):
     """select 'observations' as name, date_trunc('week', seen_at)::date::varchar as week, count(*) as rows from v_obs group by 2
        union all select 'changes', date_trunc('week', created_at)::date::varchar, count(*) from v_changes group by 2
        union all select 'orders', date_trunc('week', o_orderdate)::date::varchar, count(*) from orders group by 2
-       union all select 'lines', date_trunc('week', l_shipdate)::date::varchar, count(*) from lineitem group by 2""",
+       union all select 'lines', date_trunc('week', l_shipdate)::date::varchar, count(*) from lineitem group by 2"""
+    + "".join(f" union all select '{n}', date_trunc('week', {at})::date::varchar, count(*) from {v} group by 2" for n, v, at in _MORE),
 )
 def _(t):
     return r.rows_per_week(tables(t))
