@@ -160,6 +160,13 @@ GROUP_NOUNS = {
     "whiskey": "whiskey", "vodka": "vodka", "tequila": "tequila", "rum": "rum", "gin": "gin", "brandy": "brandy",
     "liqueurs": "liqueurs", "sparkling": "sparkling", "beer": "beer", "cider": "cider",
 }
+# The groups in the order of the menu, with the names shown.
+GROUP_LABELS = {
+    "whiskey": "Whiskey", "vodka": "Vodka", "tequila": "Tequila & mezcal", "rum": "Rum", "gin": "Gin", "brandy": "Brandy & cognac",
+    "liqueurs": "Liqueurs & schnapps", "red-wine": "Red wine", "white-wine": "White wine", "rose": "Rosé & blush", "sparkling": "Sparkling wine",
+    "fortified": "Port, sherry & dessert wine", "other-wine": "Sake, orange & fruit wine", "beer": "Beer", "cider": "Cider & malt drinks",
+    "premixed": "Premixed cocktails", "gift-sets": "Gift sets", "offers": "Offers & allocated", "special-orders": "Special orders", "other": "Other",
+}
 IMPLIED_HEADS = {
     "whiskey": "WHISKEY", "vodka": "VODKA", "tequila": "TEQUILA", "rum": "RUM", "gin": "GIN", "brandy": "BRANDY",
     "liqueurs": "LIQUEURS", "sparkling": "SPARKLING WINE", "beer": "BEER", "cider": "CIDER", "premixed": "PREMIXED",
@@ -230,3 +237,12 @@ def subcategory_label(category: str | Column) -> Column:
     ).otherwise(tidy_head)
     other = F.when(tail != "", F.concat(plain, F.lit(" · "), tail)).otherwise(plain)
     return F.when(implied, in_group).when(group.isin("red-wine", "white-wine"), wine).otherwise(other)
+
+
+def filter_label(category: str | Column) -> Column:
+    """What a chosen category is called: "Red wine · French · Bordeaux", "Imported vodka"."""
+    c = col(category)
+    group, label = category_group(c), subcategory_label(c)
+    noun = lookup(GROUP_NOUNS, group)
+    bare = group.isNull() | (group == "other") | F.coalesce(F.contains(F.lower(label), noun), F.lit(False))
+    return F.when(bare, label).otherwise(F.concat(lookup(GROUP_LABELS, group), F.lit(" · "), label))

@@ -476,7 +476,75 @@ def classify_rarity(
         .when(F.col("label") == "Facts only", "Not rated yet")
         .otherwise(F.col("label"))
     )
-    return publish_gate(u.withColumn("confidence", confidence).withColumn("headline", headline))
+    return publish_gate(with_reasons(u.withColumn("confidence", confidence).withColumn("headline", headline), th))
+
+
+def _plain(x: Column) -> Column:
+    """A number to one place, whole ones without it."""
+    return F.regexp_replace(F.round(x, 1).cast("string"), r"\.0$", "")
+
+
+def with_reasons(rated: DataFrame, th: Thresholds = DEFAULTS) -> DataFrame:
+    """Adds the ``reason`` of each rating, with the numbers it rests on, and the
+    ``explanation`` a shopper reads."""
+
+    def text(*parts: str | Column) -> Column:
+        return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("?")) for p in parts])
+
+    def when(condition: Column, *parts: str | Column) -> Column:
+        return F.when(F.coalesce(condition, F.lit(False)), text(*parts)).otherwise("")
+
+    def many(n: Column, word: str) -> Column:
+        return F.concat(n.cast("string"), F.lit(f" {word}"), F.when(n == 1, "").otherwise("s"))
+
+    c = F.col
+    label, of_days = c("label"), F.concat(F.floor(100 * c("share") + 0.5).cast("string"), F.lit("%"))
+    in_stock = F.concat(F.lit("in stock "), of_days)
+    stores, usual = _plain(c("typical_stores")), F.floor(c("typical_stores") + 0.5)
+    dropped = when(c("drop_bottles").isNotNull(), " (also in allocated drops)")
+    few, watched = label == "Usually at a few stores", F.coalesce("watched_sold", F.lit(0))
+    facts = label == "Facts only"
+    no_stores = facts & (c("share") >= th.consistently)
+    reason = (
+        F.when(label == "Drawing", text("latest drawing ", c("draw_bottles"), " bottles (", F.when(c("tier") == "unicorn", "at most ").otherwise("over "), f"{th.unicorn_bottles})"))
+        .when(label.isin("Special order", "Being discontinued"), text("status ", c("status")))
+        .when((label == "Allocated release") & (c("bottles12") == 0), text("newly observed: drops total ", c("drop_bottles"), " bottles, no recorded sales yet"))
+        .when(
+            label == "Allocated release",
+            text("drops total ", c("drop_bottles"), " bottles, sales ", c("bottles12"), " in 12 months over ", c("record_months12"), " months, ", F.when(c("enough"), in_stock).otherwise("shelf data thin"), ": ", c("tier")),
+        )
+        .when(facts & ~c("listed"), F.lit("not in the current catalog; no drawing or drop"))
+        .when(label == "Not observed in season", text("holiday product; no observed November or December day (", c("seasonal"), ")"))
+        .when(facts & ~c("enough"), text("only ", F.coalesce("observed_days", F.lit(0)), " observed days"))
+        .when(no_stores, text(in_stock, ", store coverage unknown"))
+        .when(label == "Widely available", text(in_stock, ", typically ", stores, " stores", dropped))
+        .when(few, text(in_stock, ", typically ", stores, " stores (range ", c("stores_low"), "-", c("stores_high"), ")", dropped))
+        .when(label == "Intermittently available", text(in_stock, dropped))
+        .when(
+            label == "Hard to find",
+            text(in_stock, when(c("sellouts") > 0, ", ", c("sellouts"), " sellouts"), when(watched > 0, ", sales in ", watched, " watched months"), dropped),
+        )
+        .otherwise(text(in_stock, F.when(c("in_stock_days") == 0, "; never seen in stock").otherwise("; no sellout or sales while watched")))
+    )
+    explanation = (
+        F.when(label == "Drawing", text(F.coalesce(many(c("draw_bottles"), "bottle"), F.lit("A few bottles")), " in this drawing (", F.initcap("drawing"), "), not all that came in."))
+        .when(label == "Special order", F.lit("Ordered on request, not kept on shelves."))
+        .when(label == "Being discontinued", F.lit("It is being phased out."))
+        .when((label == "Allocated release") & (c("bottles12") == 0), F.lit("New in allocated drops; without sales it is not rated."))
+        .when((label == "Allocated release") & (c("tier") == "rare"), text("Only ", F.format_number("drop_bottles", 0), " bottles came with allocated drops, and shelves rarely have it."))
+        .when(label == "Allocated release", text("Sold through monthly allocated drops", when(c("enough"), " and on shelves on ", of_days, " of the days checked"), "."))
+        .when(facts & ~c("listed"), F.lit("It is not listed now."))
+        .when(label == "Not observed in season", F.lit("No full season of it has been watched."))
+        .when(facts & ~c("enough"), F.lit("It has not been watched long enough."))
+        .when(no_stores, F.lit("More checks of single stores are needed."))
+        .when(label == "Widely available", text("In stock on most days checked, usually at about ", usual, " stores."))
+        .when(few & (c("stores_high") >= th.wide_stores), text("At a few stores between wider restocks (", c("stores_low"), "-", c("stores_high"), " stores)."))
+        .when(few, text("In stock on most days checked, but usually at only ", many(usual, "store"), "."))
+        .when(label == "Intermittently available", text("In stock somewhere on ", of_days, " of the days checked."))
+        .when(label == "Hard to find", text("In stock somewhere on only ", of_days, " of the days checked", when(c("sellouts") > 0, ", and seen to sell out"), "."))
+        .otherwise(F.lit("It is seldom or never seen on shelves."))
+    )
+    return rated.withColumn("reason", reason).withColumn("explanation", explanation)
 
 
 def publish_gate(rated: DataFrame) -> DataFrame:

@@ -111,6 +111,18 @@ def search_regression(ranked: DataFrame, cases: DataFrame) -> DataFrame:
     ).withColumn("passed", F.expr("top_ok and includes_ok and excludes_ok"))
 
 
+def category_menu(items: DataFrame, category: str = "category") -> DataFrame:
+    """The picker: groups in menu order, each group's categories by label. One row a category."""
+    order = F.create_map(*[F.lit(x) for i, g in enumerate(k.GROUP_LABELS, 1) for x in (g, i)])
+    each = items.where(F.col(category).isNotNull()).select(F.col(category).alias("value")).distinct()
+    named = each.select("value", k.category_group("value").alias("grp"), k.subcategory_label("value").alias("label"), k.filter_label("value").alias("chosen"))
+    by = Window.partitionBy("grp").orderBy(F.lower("label"), "label", "value")
+    return named.select(
+        F.try_element_at(order, F.col("grp")).alias("position"), "grp", k.lookup(k.GROUP_LABELS, F.col("grp")).alias("title"), "value", "label", "chosen",
+        F.row_number().over(by).alias("place"),
+    )
+
+
 def shortcut_counts(catalog: DataFrame, shortcuts: Mapping[str, Column]) -> DataFrame:
     """Many conditional counts of listed in-stock items in one pass."""
     return catalog.where("in_stock and delisted_at is null").agg(

@@ -241,6 +241,47 @@ def _(t):
     return t.rated.select("csc", "label", "tier", "confidence", "headline")
 
 
+_STOCKED = "'in stock ' || floor(100 * share + 0.5)::bigint || '%'"
+_DROPPED = "case when drop_bottles is not null then ' (also in allocated drops)' else '' end"
+_STORES = r"regexp_replace(round(typical_stores, 1)::varchar, '\.0$', '')"
+
+
+@query(
+    "rating_reasons",
+    f"""select csc, coalesce(case
+         when label = 'Drawing' then 'latest drawing ' || coalesce(draw_bottles::varchar, '?') || ' bottles (' || case when tier = 'unicorn' then 'at most' else 'over' end || ' 25)'
+         when label in ('Special order', 'Being discontinued') then 'status ' || status
+         when label = 'Allocated release' and bottles12 = 0 then 'newly observed: drops total ' || drop_bottles || ' bottles, no recorded sales yet'
+         when label = 'Allocated release' then 'drops total ' || drop_bottles || ' bottles, sales ' || bottles12 || ' in 12 months over ' || record_months12 || ' months, '
+              || case when enough then {_STOCKED} else 'shelf data thin' end || ': ' || tier
+         when label = 'Not observed in season' then 'holiday product; no observed November or December day (' || seasonal || ')'
+         when label = 'Facts only' and not listed then 'not in the current catalog; no drawing or drop'
+         when label = 'Facts only' and not enough then 'only ' || coalesce(observed_days, 0) || ' observed days'
+         when label = 'Facts only' and share >= 0.8 then {_STOCKED} || ', store coverage unknown'
+         when label = 'Widely available' then {_STOCKED} || ', typically ' || {_STORES} || ' stores' || {_DROPPED}
+         when label = 'Usually at a few stores' then {_STOCKED} || ', typically ' || {_STORES} || ' stores (range ' || stores_low || '-' || stores_high || ')' || {_DROPPED}
+         when label = 'Intermittently available' then {_STOCKED} || {_DROPPED}
+         when label = 'Hard to find' then {_STOCKED} || case when sellouts > 0 then ', ' || sellouts || ' sellouts' else '' end
+              || case when watched_sold > 0 then ', sales in ' || watched_sold || ' watched months' else '' end || {_DROPPED}
+         else {_STOCKED} || case when in_stock_days = 0 then '; never seen in stock' else '; no sellout or sales while watched' end end, '') as reason,
+         label || case when label in ('Usually at a few stores') and stores_high >= 10 then ' restocks' when label = 'Allocated release' and bottles12 = 0 then ' new'
+                       when label = 'Allocated release' and tier = 'rare' then ' rare' when label = 'Facts only' then case when not listed then ' unlisted' when not enough then ' short' when share >= 0.8 then ' stores' else ' seldom' end else '' end as kind
+       from o_rated""",
+)
+def _(t):
+    """The reason of each rating; the explanation by the kind of sentence it is."""
+    sentences = {
+        "Ordered on request": "Special order", "It is being phased out": "Being discontinued", "New in allocated": "Allocated release new", "Only ": "Allocated release rare",
+        "Sold through": "Allocated release", "It is not listed": "Facts only unlisted", "No full season": "Not observed in season", "It has not been": "Facts only short",
+        "More checks": "Facts only stores", "In stock on most days checked, usually": "Widely available", "At a few stores": "Usually at a few stores restocks",
+        "In stock on most days checked, but": "Usually at a few stores", "In stock somewhere on only": "Hard to find", "In stock somewhere on ": "Intermittently available", "It is seldom": "Facts only seldom",
+    }
+    kind = F.when(F.contains("explanation", F.lit("in this drawing")), "Drawing")
+    for start, name in sentences.items():
+        kind = kind.when(F.startswith("explanation", F.lit(start)), name)
+    return t.rated.select("csc", F.coalesce("reason", F.lit("")).alias("reason"), kind.alias("kind"))
+
+
 @query("publish_gate", "select csc, tier, confidence, names, blocked_by, published from o_rated")
 def _(t):
     return t.rated.select("csc", "tier", "confidence", "names", "blocked_by", "published")

@@ -215,6 +215,19 @@ def _(t):
     return t.products.select("csc", k.category_group(c).alias("grp"), k.subcategory_label(c).alias("label"))
 
 
+@query(
+    "category_menu",
+    """select distinct m.position::int as position, m.grp, m.title, m.value, m.label, m.chosen, 1 as place from v_products join (values
+         ('PROMO', 2, 'vodka', 'Vodka', 'VODKA - IMPORTED', 'Imported vodka', 'Imported vodka'), ('STANDARD', 8, 'red-wine', 'Red wine', 'FRENCH RED - BORDEAUX', 'French · Bordeaux', 'Red wine · French · Bordeaux'),
+         ('SMALL', 11, 'sparkling', 'Sparkling wine', 'SPARKLING WINE - PROSECCO', 'Prosecco', 'Sparkling wine · Prosecco'),
+         ('LARGE', 9, 'white-wine', 'White wine', 'WHITE VARIETAL - CHARDONNAY', 'Chardonnay', 'White wine · Chardonnay'),
+         ('MEDIUM', 1, 'whiskey', 'Whiskey', 'WHISKEY - BOURBON & TENNESSEE', 'Bourbon & Tennessee', 'Whiskey · Bourbon & Tennessee'),
+         ('ECONOMY', 18, 'offers', 'Offers & allocated', 'ALLOCATED WINE - RED', 'Allocated Wine · Red', 'Offers & allocated · Allocated Wine · Red')) m(category, position, grp, title, value, label, chosen) using (category)""",
+)
+def _(t):
+    return search.category_menu(t.products.select(k.lookup(CATEGORIES, F.col("category")).alias("category")))
+
+
 @query(
     "shortcut_counts",
     """select count(*) filter (where category = 'PROMO' and current_price <= 30) as promo_cheap, count(*) filter (where category = 'SMALL') as small,

@@ -171,6 +171,15 @@ def test_index_follows_the_items_and_holds_what_a_scan_holds(spark, tmp_path):
         assert got == sorted(want, key=repr) and len(want) > 60
 
 
+def test_category_menu(spark):
+    names = ["VODKA - IMPORTED", "VODKA", "FRENCH RED - BORDEAUX", "RED VARIETAL - MALBEC", "SPECIAL ORDERS", "SAKE", "ODD THING - MISC", "WHISKEY - SCOTCH", None, "VODKA"]
+    menu = search.category_menu(spark.createDataFrame([(n,) for n in names], "category string"))
+    got = {r["value"]: (r["position"], r["title"], r["label"], r["chosen"], r["place"]) for r in menu.collect()}
+    assert len(got) == 8 and got["VODKA"] == (2, "Vodka", "Vodka", "Vodka", 2) and got["VODKA - IMPORTED"][2:] == ("Imported vodka", "Imported vodka", 1)
+    assert got["FRENCH RED - BORDEAUX"][:4] == (8, "Red wine", "French · Bordeaux", "Red wine · French · Bordeaux") and got["WHISKEY - SCOTCH"][3] == "Whiskey · Scotch"
+    assert got["ODD THING - MISC"] == (20, "Other", "Odd Thing · Other", "Odd Thing · Other", 1)
+
+
 def _profile(spark, name, category, text):
     from stockline import session
 
