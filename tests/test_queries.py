@@ -17,7 +17,7 @@ NAMES = [
     "day_grid", "stores_per_day", "returned_after_absence", "asof_value", "next_event_duration", "change_events", "import_monthly_facts", "unpack_columnar_json",
     "selling_runs", "drawing_odds", "price_percentile", "token_match", "maker_match", "local_answer", "store_ranking", "digest_match", "intent_reconcile",
     "select_targets", "sessionize", "source_engagement", "return_cohorts", "top_breakdowns", "check_quality", "stratified_sample", "stream_sessions",
-    "stream_change_events",
+    "stream_change_events", "index_refresh", "recommend", "eligibility_counts", "geo_device_mix", "run_gap_stats", "rating_reasons", "watch_attribution",
 ]
 
 
