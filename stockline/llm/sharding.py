@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import checkpointed
 
 HASH_BITS = 52
+BASE = 20
 
 
 @dataclass(frozen=True)
@@ -32,18 +33,23 @@ class Shard:
     weight: float = 1.0
 
 
-def layout(shards: int, per_rack: int = 5, racks: int = 2) -> list[Shard]:
-    """``shards`` equal shards, numbered from 0, filling racks and regions in turn."""
-    per_region = per_rack * racks
-    return [Shard(i, f"g{i // per_region}", f"g{i // per_region}/r{i % per_region // per_rack}") for i in range(shards)]
-
-
 def grown(tree: list[Shard]) -> list[Shard]:
     """``tree`` with one more shard, in a region and rack of its own."""
     n = max((s.number for s in tree), default=-1) + 1
     return [*tree, Shard(n, f"+{n}", f"+{n}/r0")]
 
 
+def layout(shards: int, per_rack: int = 5, racks: int = 2) -> list[Shard]:
+    """``shards`` equal shards, numbered from 0: the first ``BASE`` fill racks and regions in
+    turn, the others are grown one by one. So from ``BASE`` on there is one tree for each number
+    of shards, and that of one more is the same tree, grown."""
+    per_region = per_rack * racks
+    tree = [Shard(i, f"g{i // per_region}", f"g{i // per_region}/r{i % per_region // per_rack}") for i in range(min(shards, BASE))]
+    while len(tree) < shards:
+        tree = grown(tree)
+    return tree
+
+
 def _draw(key: Column, name: Column, weight: Column) -> Column:
     digits = F.substring(F.md5(F.concat_ws("|", key, name).cast("binary")), 1, HASH_BITS // 4)
     u = (F.conv(digits, 16, 10).cast("double") + 0.5) / float(2**HASH_BITS)

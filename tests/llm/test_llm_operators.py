@@ -1,4 +1,5 @@
 import hashlib
+import math
 import re
 import unicodedata
 import zlib
@@ -67,6 +68,29 @@ def test_shards_that_grow_take_rows_only_for_themselves(spark):
         assert abs(share - 1 / (n + 1)) < 0.04
 
 
+def test_places_are_those_of_a_plain_tree(spark):
+    def draw(key, name, weight):
+        return math.log((int(hashlib.md5(f"{key}|{name}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / weight
+
+    def plain_place(key, tree):
+        regions, racks = Counter(), Counter()
+        for s in tree:
+            regions[s.region] += s.weight
+            racks[s.region, s.rack] += s.weight
+        region = max(regions, key=lambda r: draw(key, r, regions[r]))
+        rack = max((k for r, k in racks if r == region), key=lambda k: draw(key, k, racks[region, k]))
+        return max((s for s in tree if s.rack == rack), key=lambda s: draw(key, f"s{s.number}", s.weight)).number
+
+    ids = spark.range(1500).withColumnRenamed("id", "doc_id")
+    for n in (3, 20, 33, 40):
+        tree = sharding.layout(n)
+        assert [s.number for s in tree] == list(range(n))
+        got = rows(sharding.place(sharding.place(ids, tree, "doc_id", "a"), sharding.grown(tree), "doc_id", "b"))
+        assert all(a == plain_place(d, tree) and b == plain_place(d, sharding.grown(tree)) for d, a, b in got)
+    # One tree for a number of shards: that of 41 is that of 40, grown.
+    assert sharding.layout(41) == sharding.grown(sharding.layout(40))
+
+
 def test_a_heavier_shard_moves_rows_within_its_subtrees(spark):
     ids = spark.range(3000).withColumnRenamed("id", "doc_id")
     tree = sharding.layout(20)
