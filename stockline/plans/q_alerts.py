@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import datetime
 
 from pyspark.sql import functions as F
 
@@ -47,7 +46,6 @@ def _(t):
     return digest(t)
 
 
-_DROPS_AT = datetime(2001, 7, 31)
 define(
     "v_drop_events",
     "select (epoch(drop_date) // 86400)::bigint as event_id, drop_date::timestamp as created_at from (select distinct drop_date from v_drops)",
@@ -63,16 +61,16 @@ def drop_events(t):
 @query(
     "drop_alert_match",
     """select u.user_id, e.event_id from (select distinct user_id from v_watch where user_id % 7 <> 0) u, v_drop_events e
-       where e.created_at > timestamp '2001-07-31' - interval 96 hour and not (u.user_id % 5 = 0 and e.event_id % 2 = 0)""",
+       where e.created_at > (select max(created_at) from v_drop_events) - interval 96 hour and not (u.user_id % 5 = 0 and e.event_id % 2 = 0)""",
 )
 def _(t):
-    users = t.watch.where("user_id % 7 <> 0")
-    told = (
-        users.where("user_id % 5 = 0")
-        .select("user_id", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(11440, 11560, 2)])).alias("event_id"))
-        .distinct()
-    )
-    return a.drop_alert_match(drop_events(t), users, told, _DROPS_AT, lookback_hours=96)
+    """Told at the time of the newest drop; a fifth of the users know every other one of the last 30 days."""
+    users, events = t.watch.where("user_id % 7 <> 0"), drop_events(t)
+    newest = events.agg(F.max("created_at")).first()[0]
+    known = events.where((F.col("event_id") % 2 == 0) & (F.col("created_at") > F.lit(newest) - F.expr("interval 30 days")))
+    ids = known.agg(F.collect_set("event_id")).scalar()  # a day is an event, so 15 at most
+    told = users.where("user_id % 5 = 0").select("user_id").distinct().withColumn("event_id", F.explode(ids))
+    return a.drop_alert_match(events, users, told, newest, lookback_hours=96)
 
 
 @query(

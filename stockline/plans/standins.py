@@ -163,7 +163,7 @@ CTES: dict[str, str] = {
         select o_orderdate::date as drop_date, upper(p_brand || ' ' || p_name) as product_name,
                l_suppkey::int % 25 as store_id, sum(l_quantity::int)::int as bottle_qty
         from orders join lineitem on l_orderkey = o_orderkey join part on p_partkey = l_partkey
-        where o_orderpriority = '1-URGENT' group by 1, 2, 3""",
+        group by 1, 2, 3""",
 }
 
 
@@ -428,7 +428,6 @@ class Tables:
     def drops(self) -> DataFrame:
         return (
             self.table("orders")
-            .where("o_orderpriority = '1-URGENT'")
             .join(self.table("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
             .join(self.table("part"), F.col("p_partkey") == F.col("l_partkey"))
             .groupBy(
