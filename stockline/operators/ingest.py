@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import skew, times
+from ..session import checkpointed
 
 # Type codes that make event ids from observation numbers.
 EVENT_CODES = {"new_product": 1, "price_change": 2, "status_change": 3, "restock": 4, "out_of_stock": 5, "store_restock": 6}
@@ -419,12 +420,12 @@ def reused_codes(sales: DataFrame) -> DataFrame:
 
 def list_hashes(lists: DataFrame, by: str) -> DataFrame:
     """Order-free content hash of each posted list, and whether it differs from
-    the one before. Line hashes are added up, so no list is gathered; the last
-    step orders one row per list."""
+    the one before. Line hashes are added up, so no list is gathered; lists, by date,
+    are then compared year by year."""
     line = F.upper(F.concat_ws("|", "product_name", F.col("store_id").cast("string"), F.col("bottle_qty").cast("string")))
     per = lists.groupBy(by).agg(F.count("*").alias("rows"), _joined_sums(*[F.sum(h) for h in _hash_halves(line)]).alias("list_hash"))
-    prev = F.lag("list_hash").over(Window.orderBy(by))
-    return per.withColumn("changed", ~F.col("list_hash").eqNullSafe(prev))
+    pairs = skew.neighbours(checkpointed(per), [], [by], F.year(by), prev={"__before": "list_hash"})
+    return pairs.withColumn("changed", ~F.col("list_hash").eqNullSafe(F.col("__before"))).drop("__before")
 
 
 def new_drop_products(stored: DataFrame, posted: DataFrame, today: Column) -> DataFrame:
