@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..session import checkpointed, prepare, shared_folder
 
-__all__ = ["SPACES", "checkpointed", "fresh_folder", "keep_where", "numbered", "prepare", "table", "written"]
+__all__ = ["SPACES", "checkpointed", "discard", "fresh_folder", "keep_where", "numbered", "prepare", "release", "table", "written"]
 
 # The white space that parts words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -33,6 +33,21 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of ``written`` tables that nothing reads any more."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            path.getFileSystem(conf).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the cluster delete the shuffle files of plans that are done. Spark does so when the
+    driver's garbage collector meets such a plan, which a driver with room to spare puts off."""
+    spark._jvm.System.gc()
+
+
 def keep_where(df: DataFrame, condition: Column) -> DataFrame:
     """A filter that is not moved below the columns it reads, which would compute them twice.
     Filters do not pass a projection with a row number."""
