@@ -47,12 +47,11 @@ def search_ranked(
     once; ranking cuts each query to its page before the shuffle.
     """
     items = catalog if filters is None else catalog.where(filters)
-    matched = token_match(catalog, queries, index=index)
-    if filters is not None:
-        matched = matched.join(items.select("csc"), "csc", "left_semi")
-    matched = checkpointed(matched)
-    hits = matched.join(items, "csc")
-    totals = matched.groupBy("q").agg(F.count("*").alias("total"))
+    # A code may stand for several items; each of them is a result and counts.
+    listed = items.groupBy("csc").agg(F.count("*").alias("listed"))
+    matched = checkpointed(token_match(catalog, queries, index=index).join(listed, "csc"))
+    hits = matched.drop("listed").join(items, "csc")
+    totals = matched.groupBy("q").agg(F.sum("listed").alias("total"))
     if near is not None:
         hits = hits.join(near.select("csc", F.lit(1).alias("near")), "csc", "left").fillna(0, ["near"])
     else:

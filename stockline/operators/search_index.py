@@ -101,9 +101,10 @@ class SearchIndex:
         self.spark.read.parquet(f"{part}/postings").groupBy("in_category", "gram").agg(F.count("*").alias("n")).write.parquet(f"{part}/counts")
         return SearchIndex(self.spark, self.folder, [*self.parts, part], f"{part}/members")
 
-    def hits(self, terms: DataFrame) -> DataFrame:
-        """(id, key, level) for ``terms`` (id, in_category, alt): the items whose text holds the
-        term; level 0 as a whole word, 1 at a word's start, 2 within a word."""
+    def held(self, terms: DataFrame) -> DataFrame:
+        """(key, held) for ``terms`` (id, in_category, alt): the terms that an item's texts hold,
+        id -> level; 0 as a whole word, 1 at a word's start, 2 within a word. A key that several
+        items share has one row, with the best level of each term."""
         counts = self.counts
         # A long term takes the rarest of its grams; one shorter than a gram all grams it starts.
         inner = F.transform(F.sequence(F.lit(1), F.length("alt") - GRAM + 1), lambda i: F.substr("alt", i, F.lit(GRAM)))
@@ -118,7 +119,11 @@ class SearchIndex:
         found = near.join(self.texts.select("tid", "text"), "tid").where(F.contains("text", F.col("alt")))
         word = F.concat(F.lit(r"\b"), F.regexp_replace("alt", r"\.", r"\\."))
         level = F.when(F.regexp_like("text", F.concat(word, F.lit(r"\b"))), 0).when(F.regexp_like("text", word), 1).otherwise(2)
-        return found.select("id", "tid", level.alias("level")).join(self.members.select("key", "tid"), "tid").select("id", "key", "level")
+        # Few texts may stand for all items: their terms come to the members, which are many.
+        of_text = found.groupBy("tid").agg(F.collect_list(F.struct("id", level.alias("level"))).alias("terms"))
+        met = self.members.select("key", "tid").repartition("key", "tid").join(of_text, "tid").select("key", F.explode("terms").alias("t"))
+        best = met.groupBy("key", "t.id").agg(F.min("t.level").alias("level"))
+        return best.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("id", "level"))).alias("held"))
 
 
 def _term_id() -> Column:
@@ -137,8 +142,9 @@ def match(index: SearchIndex, queries: DataFrame, key: str = "csc", q: str = "q"
     )
     asked = tokens.select(F.col(q).alias("q"), "tok", "n_tokens", "phrase", F.explode(alts).alias("a")).select("q", "tok", "n_tokens", "phrase", "a.*", _term_id())
     terms = asked.select("id", "in_category", "alt").distinct()
-    hits = checkpointed(index.hits(terms))
-    sizes = hits.groupBy("id").agg(F.count("*").alias("n"))
+    held = checkpointed(index.held(terms))
+    each = held.select("key", "held", F.explode(F.map_keys("held")).alias("id"))
+    sizes = each.groupBy("id").agg(F.count("*").alias("n"))
 
     by_token = asked.join(sizes, "id").groupBy("q", "tok").agg(
         F.max("n_tokens").alias("n_tokens"), F.max("phrase").alias("phrase"), F.sum("n").alias("n"), F.sort_array(F.collect_set("id")).alias("ids")
@@ -150,14 +156,11 @@ def match(index: SearchIndex, queries: DataFrame, key: str = "csc", q: str = "q"
     need = need.where(F.size("need") == F.col("n_tokens")).select("q", "phrase", F.transform("need", lambda t: t["ids"]).alias("need"))
     leads = need.select("*", F.explode(F.col("need")[0]).alias("id"))
 
-    held = hits.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("id", "level"))).alias("held"))
-    wanted = leads.select("id").distinct()
     # The first of the rarest token's terms that an item holds brings it to the query, once.
-    mine = hits.join(wanted, "id", "left_semi").select("id", "key").join(held, "key")
     second = F.get("need", F.lit(1))
     has = lambda i: F.map_contains_key("held", i)
     quick = F.coalesce((F.size(second) > 1) | has(F.get(second, F.lit(0))), F.lit(True))
-    both = leads.join(mine, "id").where(quick)
+    both = each.join(leads, "id").where(quick)
     both = both.where(F.forall("need", lambda ids: F.exists(ids, has)))
     both = both.where(F.get(F.filter(F.col("need")[0], has), F.lit(0)) == F.col("id"))
     levels = F.transform("need", lambda ids: F.array_min(F.transform(ids, lambda i: F.try_element_at("held", i))))

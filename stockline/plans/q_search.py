@@ -77,7 +77,7 @@ def queries_of(t):
         F.substr("p_name", F.lit(2)),
         F.concat(F.lower("p_type"), F.lit(" "), second),
     )
-    return t.table("part").select(F.explode(forms).alias("q")).distinct()
+    return t.table("part").select("p_name", "p_type").distinct().select(F.explode(forms).alias("q")).distinct()
 
 
 define(
@@ -101,6 +101,12 @@ define(
 )
 
 
+def listed(t):
+    """The catalog with its search columns. The table is small and the columns are not, so its
+    rows are dealt out to the tasks before."""
+    return search.keyed(t.catalog.repartition("csc"))
+
+
 _INDEXES: dict[tuple[str, str], search.SearchIndex] = {}
 
 
@@ -108,13 +114,13 @@ def standing(t) -> search.SearchIndex:
     """The index of the catalog, written once per session as the job that keeps it would."""
     key = (t.spark.sparkContext.applicationId, t.folder)
     if key not in _INDEXES:
-        _INDEXES[key] = search.SearchIndex.build(search.keyed(t.catalog))
+        _INDEXES[key] = search.SearchIndex.build(listed(t))
     return _INDEXES[key]
 
 
 @query("token_match", "select q, csc from o_match")
 def _(t):
-    return search.token_match(search.keyed(t.catalog), queries_of(t), index=standing(t)).select("q", "csc")
+    return search.token_match(listed(t), queries_of(t), index=standing(t)).select("q", "csc")
 
 
 @query("index_refresh", "select in_category, count(*) as texts, sum(length(text))::bigint as grams, sum(n)::bigint as members from o_texts group by 1")
@@ -130,7 +136,7 @@ def _(t):
 
 @query("match_tier", "select q, tier, count(*) as items, min(csc) as first_item from o_match group by 1, 2")
 def _(t):
-    hits = search.token_match(search.keyed(t.catalog), queries_of(t), index=standing(t))
+    hits = search.token_match(listed(t), queries_of(t), index=standing(t))
     return hits.groupBy("q", "tier").agg(F.count("*").alias("items"), F.min("csc").alias("first_item"))
 
 
@@ -158,7 +164,7 @@ def ranked(t):
         .select("csc")
         .distinct()
     )
-    return search.search_ranked(search.keyed(t.catalog), queries_of(t), near=keys, index=standing(t))
+    return search.search_ranked(listed(t), queries_of(t), near=keys, index=standing(t))
 
 
 @query("search_ranked", "select * from o_ranked where place <= 50")
@@ -172,7 +178,7 @@ def _(t):
               count(*) over (partition by q) as total from o_match join o_keyed using (csc) where in_stock qualify place <= 50""",
 )
 def _(t):
-    return search.search_ranked(search.keyed(t.catalog), queries_of(t), filters=F.col("in_stock"), sort="price_asc", index=standing(t))
+    return search.search_ranked(listed(t), queries_of(t), filters=F.col("in_stock"), sort="price_asc", index=standing(t))
 
 
 @query(
@@ -184,7 +190,7 @@ def _(t):
        from r""",
 )
 def _(t):
-    hits = search.token_match(search.keyed(t.catalog), queries_of(t), index=standing(t))
+    hits = search.token_match(listed(t), queries_of(t), index=standing(t))
     cases = hits.groupBy("q").agg(F.min("csc").alias("lo"), F.max("csc").alias("hi")).select(
         "q", F.col("lo").alias("top"), F.array("lo").alias("includes"), F.lit(5).alias("within"), F.array("hi").alias("excludes")
     )

@@ -142,6 +142,19 @@ def test_token_match_against_brute_force(spark):
     assert got == [("olt", "2", 2), ("olt", "3", 2), ("ring", "1", 0), ("ring", "2", 1), ("sma rin", "1", 1), ("small", "1", 0), ("small", "3", 0)]
 
 
+def test_items_that_share_a_code(spark):
+    """A code holds what any of its items holds; each of them is a result."""
+    items = spark.createDataFrame(
+        [("1", "SMALL RING", "GIN"), ("1", "RINGER", "GIN"), ("1", "SMALL BOLT", "GIN"), ("2", "BOLT", "SMALL"), (None, "RING", None)], "csc string, name string, category string"
+    )
+    q = spark.createDataFrame([("ring",), ("ringer bolt",), ("small gin",)], "q string")
+    got = rows(search.token_match(search.keyed(items), q).where("csc is not null"), "q", "csc", "tier")
+    assert got == [("ring", "1", 0), ("ringer bolt", "1", 0), ("small gin", "1", 0)]
+    full = search.keyed(items).selectExpr("*", "1.0D as current_price", "'A' as status", "1 as store_qty", "csc = '1' as in_stock", "cast(null as timestamp) as delisted_at")
+    found = rows(search.search_ranked(full, q, filters=F.col("name") != "RINGER"), "q", "place", "csc", "total")
+    assert found == sorted((x, i, "1", 2) for x in ("ring", "ringer bolt", "small gin") for i in (1, 2))
+
+
 def test_index_follows_the_items_and_holds_what_a_scan_holds(spark, tmp_path):
     words = ["ab", "abc", "bcd", "a", "bc.5", "cab", "x", "abcabc", "dd"]
     items = [(str(i), " ".join(words[j % 9] for j in range(i % 7, i % 7 + i % 4)) or None, words[i % 3] if i % 5 else None) for i in range(60)]
