@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from stockline.operators import geo, sales
+from stockline.operators import geo, sales, taste
 
 from helpers import NOW, ago, rows
 
@@ -69,3 +69,28 @@ def test_sales_months_unknown_is_not_zero(spark):
     assert (row["record_months12"], row["sold_months12"], row["explicit_zero12"], row["not_in_report12"]) == (12, 2, 1, 9)
     assert sales.selling_runs(sold).where("item_code = 'a'").first()["runs"] == 2
     assert sales.month_pattern(sold).where("item_code = 'a'").first()["pattern"].startswith("10 0 . . . 8 .")
+
+
+def test_trailing_months_without_a_row_for_each_month(spark):
+    """A code's missing months are counted, not made; labels and months stand for the lines."""
+    lines = [(f"2024-{m:02d}-01", c, f"{c} {m % 2}", "K", b, 1.0, "A", i) for i, (c, m, b) in enumerate(
+        [("a", 1, 5), ("a", 3, 0), ("a", 3, 7), ("b", 2, 0), ("c", 4, 2), ("c", 4, 1), (None, 2, 3)])]
+    sold = spark.createDataFrame(lines, "m string, item_code string, item_name string, class_name string, bottles int, dollars double, status string, line long")
+    sold = sold.selectExpr("to_date(m) as period_month", "* except (m)")
+    trailing = sales.sales_trailing12(sold)
+    cols = ["item_code", "record_months12", "sold_months12", "not_in_report12", "explicit_zero12", "bottles12", "sold_share12", "top2_share12"]
+    want = [("a", 4, 2, 2, 0, 12, 0.5, 1.0), ("b", 3, 0, 2, 1, 0, 0.0, None), ("c", 1, 1, 0, 0, 3, 1.0, 1.0), (None, 3, 0, 3, 0, 0, 0.0, None)]
+    assert rows(trailing, *cols) == sorted(want, key=repr)
+    first = spark.createDataFrame([("b", "2024-01-01"), ("d", "2024-03-01")], "item_code string, m string").selectExpr("item_code", "to_date(m) as catalog_month")
+    got = rows(sales.sales_trailing12(sold, first).where("item_code in ('b', 'd')"), *cols)
+    assert got == [("b", 4, 0, 3, 1, 0, 0.0, None), ("d", 2, 0, 2, 0, 0, 0.0, None)]
+    assert "Generate" not in trailing._jdf.queryExecution().optimizedPlan().toString()
+    months, labels = sales.sales_months(sold), sales.sales_labels(sold)
+    assert rows(sales.sales_trailing12(months, months=months)) == rows(trailing)
+    assert rows(sales.sales_history(labels, months)) == rows(sales.sales_history(sold))
+    assert rows(sales.seasonality(labels, 1, months)) == rows(sales.seasonality(sold, 1))
+
+
+def test_texts_are_dealt_out(spark):
+    items = spark.createDataFrame([(1, "RED", "RED VARIETAL - MALBEC", "Dry.", False)], "key long, name string, category string, description string, generic boolean").coalesce(1)
+    assert "RepartitionByExpression [key" in taste.attribute_extract(items)._jdf.queryExecution().optimizedPlan().toString()
