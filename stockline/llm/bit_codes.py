@@ -10,12 +10,13 @@
   scalar estimates without bias. Its error has a known scale, so ``SIGMAS`` of it above and
   below bound the product.
 * Rerank. A row whose upper bound reaches the k-th best so far is measured on its vector, which
-  lies beside its code, so no vector travels. Until k are known, the k-th largest lower bound
-  takes their place.
+  lies beside its code, so no vector travels. Until k are known, the rows with the highest
+  estimates are measured for a first k-th best, which is far above the k-th largest lower bound.
 
 Queries go in blocks of bounded size to all tasks; a task passes over its rows once a block,
-keeps k rows a query, and Spark ranks those of all tasks. The work is queries times rows, the
-shuffle queries times tasks.
+keeps k rows a query, and Spark ranks those of all tasks. Every query meets every row's code in a
+matrix product, which is queries times rows; the measured pairs, which cost most, grow less, since
+the k-th best rises with the rows. The shuffle is queries times tasks.
 
 Rows with null, zero or empty vectors, or with null or non-finite components, take no part. A
 row meets queries with as many components as it has. A row is left out of its own query only;
@@ -39,8 +40,10 @@ from .common import fresh_folder, numbered, written
 EXPAND = 2
 SIGMAS = 2.5
 SAMPLE = 1024
+LIKELY = 8
 QUERY_BYTES = 1 << 24
-ROWS, QUERIES, PAIRS = 4096, 512, 1 << 16
+# So few pairs that their vectors stay in a core's cache.
+ROWS, QUERIES, PAIRS = 4096, 512, 1 << 10
 
 
 def width(dims: int) -> int:
@@ -95,9 +98,23 @@ class Block:
         self.found = {c: v[kept] for c, v in both.items()}
         q = self.found["q"]
         full = np.flatnonzero(np.arange(len(q)) - np.searchsorted(q, q) == self.k - 1)
+        self._raise(q[full], self.found["score"][full])
+
+    def _raise(self, q: np.ndarray, score: np.ndarray) -> None:
+        """Rows below a k-th best ``score`` are of no more use to the queries ``q``."""
         # A little below the k-th score: bounds have single precision.
-        score = self.found["score"][full]
-        self.floor[q[full]] = score - 1e-5 * (np.abs(score) + self.norm[q[full]])
+        self.floor[q] = np.maximum(self.floor[q], score - 1e-5 * (np.abs(score) + self.norm[q]))
+
+    def _first_floor(self, x: np.ndarray, guess: np.ndarray, a: int, b: int, places: np.ndarray) -> int:
+        """Floors from the rows with the highest estimates: ``guess``, queries from b on by rows from a on.
+        Returns how many pairs were measured."""
+        # Estimates have errors, so the k-th best of just k of them would be low.
+        most = min(LIKELY * self.k + 1, guess.shape[1])
+        r = np.argpartition(guess, -most, axis=1)[:, -most:].ravel() + a
+        q = np.repeat(np.arange(b, b + len(guess)), most)
+        score = np.where(places[r] == self.places[q], -np.inf, self._measured(x, q, r)).reshape(len(guess), most)
+        self._raise(np.arange(b, b + len(guess)), np.partition(score, -self.k, axis=1)[:, -self.k])
+        return len(q)
 
     def meet(self, x: np.ndarray, codes: np.ndarray, length: np.ndarray, product: np.ndarray, ids: np.ndarray, none: np.ndarray, places: np.ndarray) -> int:
         """Takes rows in; returns how many pairs were measured."""
@@ -112,16 +129,18 @@ class Block:
             for b in range(0, len(self.x), QUERIES):
                 asked = slice(b, b + QUERIES)
                 upper = left @ self.right[:, asked]
-                floor = self.floor[asked]
-                if len(upper) > self.k and np.isinf(floor).any():
-                    lower = upper - np.outer(2 * error[rows], self.norm[asked]).astype(np.float32)
-                    floor = np.maximum(floor, np.partition(lower, -self.k - 1, axis=0)[-self.k - 1])
-                r, q = np.nonzero(~(upper < floor))
+                if len(upper) > self.k and np.isinf(self.floor[asked]).any():
+                    guess = upper.T - np.outer(self.norm[asked], error[rows]).astype(np.float32)
+                    measured += self._first_floor(x, guess, a, b, places)
+                r, q = np.nonzero(~(upper < self.floor[asked]))
                 r, q = r + a, q + b
                 other = places[r] != self.places[q]
                 r, q = r[other], q[other]
                 measured += len(q)
-                self._keep({"q": q, "score": self._measured(x, q, r), "none": none[r], "id": ids[r], "place": places[r]})
+                score = self._measured(x, q, r)
+                high = score >= self.floor[q]
+                r, q = r[high], q[high]
+                self._keep({"q": q, "score": score[high], "none": none[r], "id": ids[r], "place": places[r]})
         return measured
 
 

@@ -108,6 +108,21 @@ def test_nearest_vectors_of_the_table(spark, monkeypatch):
     assert recall(rows(queries.op12_nearest_vectors(spark, sf)), want, data) >= 0.98
 
 
+def test_few_rows_are_measured():
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(8000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    asked, center, places = np.arange(0, 8000, 40), x[:1024].mean(axis=0), np.arange(8000)
+    block = bit_codes.Block(asked, x[asked], center, 20)
+    measured = block.meet(x, *bit_codes.encode(x, center), places, np.zeros(8000, bool), places)
+    assert measured < 0.19 * len(x) * len(asked)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    want = {(i, r) for i, s in enumerate(score) for r in np.argsort(-s)[:20].tolist()}
+    got = set(zip(block.found["q"].tolist(), block.found["id"].tolist()))
+    assert len(got) == len(want) and len(got & want) >= 0.98 * len(want)
+
+
 def test_estimates_keep_their_bounds():
     rng = np.random.default_rng(8)
     x, q = rng.normal(size=(4000, 64)) + 0.5, rng.normal(size=(20, 64))
