@@ -189,6 +189,43 @@ def test_pairs_with_one_shared_band_are_checked(spark):
         assert sorted(got) == sorted((i, d) for (i, _), (d, _) in want.items()) == [(0, 0), (1, 0), (2, 2), (3, 2), (4, 2)]
 
 
+def test_lines_with_common_phrases_alone_share_few_bands(spark):
+    rng = np.random.default_rng(9)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    common = [" ".join(word(5) for _ in range(4)) for _ in range(5)]
+    lines = [" ".join(rng.permutation([word(7) for _ in range(12)] + common).tolist()) for _ in range(500)]
+    keys = line_dedup._with_bands(spark.createDataFrame(list(enumerate(lines)), "id long, line string"))
+    assert line_dedup._buckets(keys.select("id", "n", "bands")).count() < 250
+
+
+def test_buckets_dealt_in_parts_are_those_of_all_bands(spark):
+    data = [(i, 60 + i % 3, [i // 2, 100 + i % 5, -i // 3]) for i in range(60)]
+    held = {}
+    for i, n, bands in data:
+        for b in bands:
+            held.setdefault(b, []).append((i, n))
+    want = [(b, i, n, *min(x), len(x)) for b, x in held.items() if len(x) > 1 for i, n in x]
+    got = rows(line_dedup._buckets(spark.createDataFrame(data, "id long, n int, bands array<long>")), "band", "id", "n", "lead", "lead_n", "members")
+    assert sorted(got) == sorted(want)
+
+
+def test_further_leaders_link_what_pairs_link(spark, monkeypatch):
+    # Variants of a few lines, so that buckets hold several components after the first leader.
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+    source = []
+    for _ in range(3):
+        base = [word() for _ in range(25)]
+        source += [" ".join(word() if j in gone else w for j, w in enumerate(base)) for gone in (set(rng.permutation(25)[: k % 5].tolist()) for k in range(40))]
+    source = list(enumerate(source))
+    want = sorted((source[i][0], d) for (i, _), (d, _) in plain.kept_lines(source).items())
+    monkeypatch.setattr(line_dedup, "EACH", 0)
+    rounds, joined = [], line_dedup._joined
+    monkeypatch.setattr(line_dedup, "_joined", lambda *a: rounds.append(1) or joined(*a))
+    assert sorted(rows(line_dedup.judged_lines(table(spark, source)), "doc_id", "kept_doc_id")) == want
+    assert len(rounds) > 1
+
+
 def test_members_that_miss_the_leader_are_linked(spark):
     # Each line differs from the next by one word; the first and the last are far apart.
     words = [f"{a}{b}lane" for a in "kmprstvw" for b in "aeiou"]
