@@ -226,6 +226,21 @@ def test_further_leaders_link_what_pairs_link(spark, monkeypatch):
     assert len(rounds) > 1
 
 
+def test_variants_of_one_line_are_not_all_held_against_each_other(spark, monkeypatch):
+    # The frequent line leads the buckets; its variants are too far from it and from most of each other.
+    rng = np.random.default_rng(21)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6))
+    base = [word() for _ in range(40)]
+    far = [[word() if j in gone else w for j, w in enumerate(base)] for gone in (set(rng.permutation(40)[:4].tolist()) for _ in range(150))]
+    near = [x[:k] + [word()] + x[k + 1 :] for k, x in enumerate(far[:20])]
+    source = list(enumerate(" ".join(x) for x in [base] * 4 + far + near))
+    want = sorted((source[i][0], d) for (i, _), (d, _) in plain.kept_lines(source).items())
+    pairs, measured = [], line_dedup._measured
+    monkeypatch.setattr(line_dedup, "_measured", lambda rest, texts: pairs.append(rest.count()) or measured(rest, texts))
+    assert sorted(rows(line_dedup.judged_lines(table(spark, source)), "doc_id", "kept_doc_id")) == want
+    assert pairs[-1] < 1000
+
+
 def test_members_that_miss_the_leader_are_linked(spark):
     # Each line differs from the next by one word; the first and the last are far apart.
     words = [f"{a}{b}lane" for a in "kmprstvw" for b in "aeiou"]
@@ -243,6 +258,22 @@ def test_components(spark):
     assert components.components(links.limit(0)).count() == 0
 
 
+def test_components_that_are_done_take_no_part_in_later_rounds(spark, monkeypatch):
+    path = [(i, i + 1) for i in range(64)]
+    stars = [(1000 + 10 * k, 1000 + 10 * k + j) for k in range(100) for j in range(1, 6)]
+    sizes, kept = [], components.checkpointed
+
+    def counted(df):
+        out = kept(df)
+        sizes.extend([out.count()] if out.columns[0] == "node" else [])
+        return out
+
+    monkeypatch.setattr(components, "checkpointed", counted)
+    got = dict(rows(components.components(spark.createDataFrame(path + stars, "a long, b long"))))
+    assert got == {**{i: 0 for i in range(65)}, **{1000 + 10 * k + j: 1000 + 10 * k for k in range(100) for j in range(6)}}
+    assert sum(n > 65 for n in sizes) <= 2
+
+
 # N-gram join
 
 
