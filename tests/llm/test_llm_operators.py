@@ -241,6 +241,39 @@ def test_variants_of_one_line_are_not_all_held_against_each_other(spark, monkeyp
     assert pairs[-1] < 1000
 
 
+def test_unrelated_lines_that_share_keys_are_told_apart_without_their_texts(spark, monkeypatch):
+    # Lines of a common half and an own one: short lines meet under the neighbours that both halves leave together.
+    rng = np.random.default_rng(31)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    common = word(25)
+    source = list(enumerate(common + word(30) for _ in range(400)))
+    source += [(400 + i, x[:-1] + "0") for i, x in source[:5]]
+    want = sorted((source[i][0], d) for (i, _), (d, _) in plain.kept_lines(source).items())
+    pairs, measured = [], line_dedup._measured
+    monkeypatch.setattr(line_dedup, "_measured", lambda rest, *more: pairs.append(rest.count()) or measured(rest, *more))
+    assert sorted(rows(line_dedup.judged_lines(table(spark, source)), "doc_id", "kept_doc_id")) == want
+    assert len(pairs) > 1 and sum(pairs[1:]) < 100
+
+
+def test_texts_are_split_once(spark, monkeypatch):
+    calls, lines = [], line_dedup._lines
+    monkeypatch.setattr(line_dedup, "_lines", lambda docs: calls.append(1) or lines(docs))
+    source = [(1, SENTENCE), (2, SENTENCE.replace("quiet", "quite")), (3, SENTENCE), (4, "another line that stays")]
+    assert sorted(rows(line_dedup.judged_lines(table(spark, source)), "doc_id", "kept_doc_id")) == [(1, 1), (2, 1), (3, 1), (4, 4)]
+    assert len(calls) == 1
+
+
+def test_near_copies_on_both_sides_of_longer_keys_are_found(spark):
+    # Near copies on both sides of the number of shingles from which on keys have more neighbours.
+    rng = np.random.default_rng(41)
+    word = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    long = [" ".join(word(7) for _ in range(85 + 2 * k)) for k in range(20)]
+    source = list(enumerate(long + [" ".join(x.split(" ")[: -len(x.split(" ")) // 8]) for x in long]))
+    want = plain.kept_lines(source)
+    got = rows(line_dedup.judged_lines(table(spark, source)), "doc_id", "kept_doc_id")
+    assert sorted(got) == sorted((source[i][0], d) for (i, _), (d, _) in want.items()) and {d for _, d in got} == set(range(20))
+
+
 def test_members_that_miss_the_leader_are_linked(spark):
     # Each line differs from the next by one word; the first and the last are far apart.
     words = [f"{a}{b}lane" for a in "kmprstvw" for b in "aeiou"]
